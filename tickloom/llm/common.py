@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters that are not ASCII white space.
@@ -71,3 +71,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if seen == old_seen:
             break
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+
+
+def spread_totals(df: DataFrame, keys: list[str], bucket: str, order: list, weight: str = "1", name: str = "before") -> DataFrame:
+    """df with `name`: the sum of weight over the rows of the same keys that come earlier in (bucket, order).
+
+    A prefix sum in two levels: buckets are summed (map-side first), their totals accumulated, and only the rows of
+    one bucket are sorted together, so a key with a third of all rows is no single task.
+    """
+    sums = df.groupBy(*keys, bucket).agg(F.sum(F.expr(weight)).cast("long").alias("_sum"))
+    by_key = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(by_key), F.lit(0))).drop("_sum")
+    here = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = df.withColumn("_here", F.coalesce(F.sum(F.expr(weight)).over(here), F.lit(0)))
+    return inner.join(offsets, [*keys, bucket]).withColumn(name, (F.col("_base") + F.col("_here")).cast("long")).drop("_base", "_here")

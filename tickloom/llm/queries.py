@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 from tickloom.llm.common import read
+from tickloom.llm.mixing import mix
 from tickloom.llm.near_dedup import near_duplicates
+from tickloom.llm.quality_rules import quality_report
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op6_minhash_near_dedup,)}
+def op3_mixing(spark, sf_dir):
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_quality_rules(spark, sf_dir):
+    out = quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op6_minhash_near_dedup, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
