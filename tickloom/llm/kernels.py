@@ -27,8 +27,8 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 
 
-def slices(column: pa.ChunkedArray | pa.Array):
-    """(first row, bytes, offsets) of consecutive rows of a string column, about SLICE_BYTES each; null counts as empty."""
+def slices(column: pa.ChunkedArray | pa.Array, most: int = SLICE_BYTES):
+    """(first row, bytes, offsets) of consecutive rows of a string column, about `most` bytes each; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -36,7 +36,7 @@ def slices(column: pa.ChunkedArray | pa.Array):
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
         end = min(end, len(column))
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end

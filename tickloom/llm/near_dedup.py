@@ -11,8 +11,9 @@ from tickloom.llm import kernels as K
 from tickloom.llm.common import components, materialize
 
 U = np.uint64
-#: 32 bands of 4 values: a pair at a similarity of 0.8 is missed with a probability below 1e-7.
-BANDS, ROWS = 32, 4
+#: 44 bands of 7 values: a pair at a similarity of 0.8 is missed with a probability of 3e-5, and at 0.25, as documents
+#: have that share a long passage, it is a candidate with one of 0.003.
+BANDS, ROWS = 44, 7
 #: Up to so many documents (8 bytes each) the ids whose sets are needed are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -65,7 +66,7 @@ def _signed(shingle: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            for row, data, offsets in K.slices(batch.column("text")):
+            for row, data, offsets in K.slices(batch.column("text"), 1 << 19):
                 got, at = K.shingles(data, offsets, shingle)
                 sig = super_minhash(got, at, bands * rows).reshape(-1, bands, rows)
                 key = np.broadcast_to(np.arange(1, bands + 1, dtype=U), sig.shape[:2])

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from tickloom.llm.common import read
+from tickloom.llm.fingerprint import edited_report
 from tickloom.llm.mixing import mix
 from tickloom.llm.near_dedup import near_duplicates
+from tickloom.llm.packing import pack_documents
 from tickloom.llm.quality_rules import quality_report
 
 
@@ -21,6 +23,16 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op6_minhash_near_dedup, op10_quality_rules)}
+def op4_document_fingerprints(spark, sf_dir):
+    return edited_report(read(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_document_fingerprints, op6_minhash_near_dedup, op7_best_fit_packing, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
