@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import kernels as K
-from tickloom.llm.common import components, materialize
+from tickloom.llm.common import materialize
+from tickloom.llm.linking import linked
 
 U = np.uint64
 #: 44 bands of 7 values: a pair at a similarity of 0.8 is missed with a probability of 3e-5, and at 0.25, as documents
 #: have that share a long passage, it is a candidate with one of 0.003.
 BANDS, ROWS = 44, 7
-#: Up to so many documents (8 bytes each) the ids whose sets are needed are broadcast; beyond, they are joined by shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 def super_minhash(values: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
@@ -96,60 +95,29 @@ def _sets(shingle: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have a Jaccard similarity of percent / 100 or more."""
-    left = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("b_items"))
-    right = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("a_items"))
-    both = F.size(F.array_intersect("a_items", "b_items"))
-    hit = 100 * both >= percent * (F.size("a_items") + F.size("b_items") - both)
-    return pairs.join(left, "b").join(right, "a").where(hit).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if the Jaccard similarity of their distinct word shingles is percent / 100 or more;
     component_id is the smallest doc_id reachable by links, kept is doc_id = component_id. Rows with equal sets
     (exact copies among them) are one class and take part once, as their smallest doc_id. Candidates share a band of
-    their SuperMinHash signatures. In each bucket all are first compared with the member that shares most buckets;
-    after union-find, every pair of a bucket that is still in different components is compared too, so no candidate
-    is left unverified, while a group of m copies costs about m comparisons.
+    their SuperMinHash signatures; every candidate is verified on full sets or already in one component (linked()).
 
     Null or wordless texts have no shingles and link with nothing. Rows that share a doc_id are one document. A null
     doc_id is linked with nothing: component_id null, kept true. Other columns are ignored. An empty table gives none.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(docs.mapInArrow(_signed(shingle, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     alone = classes.groupBy("rep").agg(F.max("n_shingles").alias("n"))
     band = usable.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2", "n_shingles"), ["doc_id", "k1", "k2", "n_shingles"], "left_semi").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    band = band.distinct()
-    crowd = band.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = materialize(band.join(crowd, "key").join(alone, "rep").select("key", "rep", "n", "m"))
-    degree = met.groupBy("rep").agg(F.sum(F.col("m") - 1).alias("degree"))
-    ranked = met.join(degree, "rep")
-    hub = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("x"), "n")).alias("h")).select("key", (-F.col("h.x")).alias("hub"), F.col("h.n").alias("hub_n"))
-    close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  no pair can be more alike than its sizes
-    star = materialize(met.join(hub, "key").where((F.col("rep") != F.col("hub")) & close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-
-    wanted = met.select(F.col("rep").alias("doc_id")).distinct()
-    n_wanted = wanted.count()
-    wanted = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, items array<long>")
-    sets = materialize(sets.groupBy("doc_id").agg(F.max("items").alias("items")))
-    links = materialize(_verified(star, sets, percent))
-
-    first = components(links, "a", "b")
-    placed = met.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
-    rest = materialize(placed.join(mixed, "key").join(hub.select("key", "hub"), "key").where("rep != hub"))
-    x, y = rest.alias("x"), rest.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2")).alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("rep") < F.col("rep2")) & (F.col("c") != F.col("c2")) & close("n", "n2")).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    more = materialize(_verified(across, sets, percent))
-    found = components(links.unionByName(more), "a", "b") if not more.isEmpty() else first
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        sets = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, items array<long>")
+        return sets.groupBy(F.col("doc_id").alias("rep")).agg(F.max("items").alias("items"))
+
+    found = linked(band.distinct().join(alone, "rep"), sets_of, percent)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

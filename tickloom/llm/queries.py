@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tickloom.llm.common import read
 from tickloom.llm.fingerprint import edited_report
+from tickloom.llm.line_dedup import dedup_lines
 from tickloom.llm.mixing import mix
 from tickloom.llm.near_dedup import near_duplicates
 from tickloom.llm.packing import pack_documents
@@ -14,6 +17,11 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op1_line_dedup(spark, sf_dir):
+    out = dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark, sf_dir):
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,6 +41,6 @@ def op7_best_fit_packing(spark, sf_dir):
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_document_fingerprints, op6_minhash_near_dedup, op7_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_document_fingerprints, op6_minhash_near_dedup, op7_best_fit_packing, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
