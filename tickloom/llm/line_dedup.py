@@ -25,8 +25,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _shingles(line: str) -> str:
-    """Array of hashes of a line's character shingles; a shorter line is its one shingle."""
-    return f"transform(sequence(0, greatest(length({line}) - {SHINGLE}, 0)), i -> xxhash64(substring(encode({line}, 'UTF-32'), 4 * i + 1, {4 * SHINGLE})))"
+    """Array of hashes of the character shingles of a line in UTF-32; a shorter line is its one shingle."""
+    return f"transform(sequence(0, greatest(length({line}) div 4 - {SHINGLE}, 0)), i -> xxhash64(substring({line}, 4 * i + 1, {4 * SHINGLE})))"
 
 
 def _bands(distinct: DataFrame) -> DataFrame:
@@ -36,7 +36,9 @@ def _bands(distinct: DataFrame) -> DataFrame:
     the line already is: no shuffle.
     """
     last = f"{PASSES} * (greatest(length(line) - {SHINGLE}, 0) + 1) - 1"
-    rows = distinct.select("h1", "h2", F.expr("encode(line, 'UTF-32')").alias("code"), F.explode(F.expr(f"sequence(0, {last})")).alias("i"))
+    # the encoding is a column before the explosion, else it would be made again for each shingle
+    rows = distinct.select("h1", "h2", F.expr("encode(line, 'UTF-32')").alias("code"), F.expr(f"sequence(0, {last})").alias("is"))
+    rows = rows.select("h1", "h2", "code", F.explode("is").alias("i"))
     rows = rows.select("h1", "h2", F.expr(f"i % {PASSES}").alias("p"), F.expr(f"xxhash64(i % {PASSES}, substring(code, 4 * (i div {PASSES}) + 1, {4 * SHINGLE}))").alias("x"))
     consts = [(0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 63) for j in range(MINIMA)]
     least = rows.groupBy("h1", "h2", "p").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(consts)])
@@ -58,7 +60,8 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         met = all_lines.withColumn("rep", name).join(wanted, "rep", "left_semi").groupBy("rep").agg(F.max("line").alias("line"))
-        return met.select("rep", F.array_distinct(F.expr(_shingles("line"))).alias("items"))
+        met = met.select("rep", F.expr("encode(line, 'UTF-32')").alias("code"))
+        return met.select("rep", F.array_distinct(F.expr(_shingles("code"))).alias("items"))
 
     found = linked(band, sets_of, PERCENT)
     once = occurrences.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "no", "d1")).alias("at"))
