@@ -11,6 +11,8 @@ from tickloom.llm.mixing import mix
 from tickloom.llm.near_dedup import near_duplicates
 from tickloom.llm.packing import pack_documents
 from tickloom.llm.quality_rules import quality_report
+from tickloom.llm.substring_dedup import remove_repeated_words
+from tickloom.llm.suffix_dedup import remove_repeated_bytes
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
@@ -22,10 +24,18 @@ def op1_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_suffix_array_dedup(spark, sf_dir):
+    return remove_repeated_bytes(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_mixing(spark, sf_dir):
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return remove_repeated_words(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_quality_rules(spark, sf_dir):
     out = quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -41,6 +51,6 @@ def op7_best_fit_packing(spark, sf_dir):
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_document_fingerprints, op6_minhash_near_dedup, op7_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_array_dedup, op3_mixing, op4_document_fingerprints, op6_minhash_near_dedup, op7_best_fit_packing, op9_substring_dedup, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
