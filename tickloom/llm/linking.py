@@ -25,13 +25,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked(band: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, component) of the items that link with another.
 
-    band: distinct (rep, key, n) of distinct sets, n being the set's size (or 1 for all). sets_of gives (rep, items)
-    for a table of reps. In each bucket all are first compared with the member that shares most buckets; after
+    band: distinct (rep, key[, n]) of distinct sets, n being the set's size. sets_of gives (rep, items) for a table of
+    reps. In each bucket all are first compared with the member that shares most buckets; after
     union-find, every pair of a bucket that is still in different components is compared too. So no candidate is left
     unverified, while a group of m copies costs about m comparisons.
     """
+    band = band.repartition("key")  # dealt once, for the count and for the join
     crowd = band.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = materialize(band.join(crowd, "key"))
+    met = band.join(crowd, "key")
+    met = materialize(met if "n" in met.columns else met.withColumn("n", F.lit(1)))
     degree = met.groupBy("rep").agg(F.sum(F.col("m") - 1).alias("degree"))
     hub = met.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", "rep", "n")).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"))
     close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  no pair is more alike than its sizes

@@ -128,6 +128,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if "lang" not in docs.columns:
         docs = docs.withColumn("lang", F.lit(None).cast("string"))
     scored = signals(docs)
-    hold = signals(docs.select("doc_id", "text", "lang").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")).drop("text")
+    hold = materialize(signals(docs.select("doc_id", "text", "lang").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")).drop("text"))
     cutoffs = fit_cutoffs(hold, labels)
-    return scored.where(verdict(cutoffs)).select(*docs.columns)
+    # a filter would be pushed below the signals, with a copy of their expressions for each use; an explosion isn't
+    return scored.withColumn("_once", F.explode(F.when(verdict(cutoffs), F.array(F.lit(1))))).select(*docs.columns)

@@ -10,9 +10,16 @@ from tickloom.llm.line_dedup import dedup_lines
 from tickloom.llm.mixing import mix
 from tickloom.llm.near_dedup import near_duplicates
 from tickloom.llm.packing import pack_documents
+from tickloom.llm.perplexity import classify
 from tickloom.llm.quality_rules import quality_report
 from tickloom.llm.substring_dedup import remove_repeated_words
 from tickloom.llm.suffix_dedup import remove_repeated_bytes
+from tickloom.llm.warc import fixity, to_records
+
+
+def op5_quality_classifier(spark, sf_dir):
+    out = classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "n_chars", "perplexity", "low", "high", "kept")
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
@@ -32,6 +39,13 @@ def op3_mixing(spark, sf_dir):
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_warc_fixity(spark, sf_dir):
+    """All pages against a replica in which the last byte of each record of a page_id divisible by 97 has rotted."""
+    pages = read(spark, sf_dir, "pages")
+    rotten = F.when(F.col("page_id") % 97 == 0, F.concat(F.expr("left(record, length(record) - 1)"), F.lit("#"))).otherwise(F.col("record"))
+    return fixity(pages, to_records(pages).withColumn("record", rotten))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return remove_repeated_words(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -51,6 +65,21 @@ def op7_best_fit_packing(spark, sf_dir):
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_array_dedup, op3_mixing, op4_document_fingerprints, op6_minhash_near_dedup, op7_best_fit_packing, op9_substring_dedup, op10_quality_rules)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_array_dedup, op3_mixing, op4_document_fingerprints, op5_quality_classifier, op6_minhash_near_dedup, op7_best_fit_packing, op8_warc_fixity, op9_substring_dedup, op10_quality_rules)}
+
+ORACLES: dict[str, str] = {
+    "op8_warc_fixity": """
+WITH r AS (
+  SELECT page_id, url, html, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages
+), o AS (
+  SELECT *, strlen(record) AS length, coalesce(sum(strlen(record)) OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST, html NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM r
+)
+SELECT page_id, 0::BIGINT AS file, "offset", length::BIGINT AS length, sha256("offset" || ':' || length || ':' || sha256(record)) AS digest,
+  CASE WHEN page_id % 97 = 0 THEN 'corrupt' ELSE 'ok' END AS status
+FROM o
+""",
+}
