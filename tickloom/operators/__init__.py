@@ -1 +1 @@
-
+"""Operators over tick tables."""
