@@ -17,7 +17,10 @@ NAN = float("nan")
 
 
 def _micros(node: Node) -> Column:
-    return F.unix_micros(node.ts) if dict(node.df.dtypes)[node.ts] == "timestamp" else F.col(node.ts).cast("long")
+    kind = dict(node.df.dtypes)[node.ts]
+    if kind.startswith("timestamp"):
+        return F.expr(f"timestampdiff(MICROSECOND, cast(timestamp_ntz'1970-01-01 00:00:00' as {kind}), {node.ts})")
+    return F.col(node.ts).cast("long")
 
 
 def _frame(node: Node, window: int | timedelta, partition: tuple[str, ...]) -> tuple[Node, WindowSpec, Column | None]:
