@@ -195,7 +195,8 @@ def optimised(universe: Node, covariances: Node, returns: Node | None, positions
     cov = latest(covariances).select("uts", F.col("i").alias(e), "j", F.col(covariances.v).alias("cov"))
     kind, key = dict(universe.df.dtypes)[universe.ts], dict(universe.df.dtypes)[e]
     side = universe.df.select(F.col(universe.ts).alias("uts"), e, F.col(universe.v).alias("u"))
-    if returns is not None:
+    has_means = returns is not None
+    if has_means:
         side = side.join(latest(returns).select("uts", e, F.col(returns.v).alias("mu")), ["uts", e], "left")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -207,18 +208,18 @@ def optimised(universe: Node, covariances: Node, returns: Node | None, positions
             m = right.pivot(index=e, columns="j", values="cov")
             ok = [i for i in names if i in m.index and np.isfinite(m.loc[i, i])]
             row = left.set_index(e)
-            ok = [i for i in ok if row.loc[i, "u"] > 0 and (returns is None or np.isfinite(row.loc[i, "mu"]))]
+            ok = [i for i in ok if row.loc[i, "u"] > 0 and (not has_means or np.isfinite(row.loc[i, "mu"]))]
             s = m.loc[ok, ok].to_numpy(float)
             if not np.isfinite(s).all():
                 raise ValueError("covariances inside the mask aren't finite")
-            mu = row.loc[ok, "mu"].to_numpy(float) if returns is not None else None
+            mu = row.loc[ok, "mu"].to_numpy(float) if has_means else None
             if logarithmic and ok:
                 d = np.diag(s) / 2
                 lin = np.expm1((mu if mu is not None else -d) + d)
                 s = np.outer(1 + lin, 1 + lin) * np.expm1(s)
                 mu = lin if mu is not None else None
             if ok:
-                w[ok] = positions(s) if returns is None else positions(mu, s)
+                w[ok] = positions(mu, s) if has_means else positions(s)
         return pd.DataFrame({"ts": [left["uts"].iloc[0]] * len(names), e: names, "v": w.to_numpy()})
 
     out = side.groupBy("uts").cogroup(cov.groupBy("uts")).applyInPandas(run, f"ts {kind}, {e} {key}, v double")

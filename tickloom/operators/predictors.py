@@ -249,7 +249,7 @@ def predict_covariance(universe: Node, features: Node, target: Node, estimator:
             return pd.DataFrame({"ts": [], "i": [], "j": [], "cov": []})
         cov = kernel(y)
         n = len(stocks)
-        return pd.DataFrame({"ts": [pdf["uts"].iloc[0]] * n * n, "i": np.repeat(stocks, n), "j": np.tile(stocks, n), "cov": cov.ravel()})
+        return pd.DataFrame({"ts": [pdf["uts"].iloc[0]] * n * n, "i": [i for i in stocks for _ in stocks], "j": stocks * n, "cov": cov.ravel()})
 
     out = sets.groupBy("uts").applyInPandas(run, f"ts {kinds['uts']}, i {kinds[e]}, j {kinds[e]}, cov double")
     return Node(out, "ts", ("i", "j"), ("cov",), float("nan"))
