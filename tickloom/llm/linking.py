@@ -26,12 +26,12 @@ def linked(band: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     """(node, component) of the items that link with another.
 
     band: distinct (rep, key[, n]) of distinct sets, n being the set's size. sets_of gives (rep, items) for a table of
-    reps. In each bucket all are first compared with the member that shares most buckets; after
-    union-find, every pair of a bucket that is still in different components is compared too. So no candidate is left
-    unverified, while a group of m copies costs about m comparisons.
+    reps. In each bucket all are first compared with the member that shares most buckets; after union-find, every pair
+    of a bucket that is still in different components is compared too, unless a bound from the rarest items of both
+    rules it out. So no candidate pair stays undecided, while a group of m copies costs about m comparisons.
     """
-    band = band.repartition("key")  # dealt once, for the count and for the join
-    crowd = band.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    band = band.repartition("key")  # dealt once: the count reads rep too, so that both sides are the same exchange
+    crowd = band.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").drop("lo", "hi")
     met = band.join(crowd, "key")
     met = materialize(met if "n" in met.columns else met.withColumn("n", F.lit(1)))
     degree = met.groupBy("rep").agg(F.sum(F.col("m") - 1).alias("degree"))
@@ -45,12 +45,27 @@ def linked(band: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent:
     sets = materialize(sets_of(wanted))
     links = materialize(verified(star, sets, percent))
 
-    first = components(links, "a", "b")
-    placed = met.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    found = components(links, "a", "b")
+
+    # the members of buckets that still hold several components c; hubs have met all of theirs
+    placed = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
     rest = materialize(placed.join(mixed, "key").join(hub.select("key", "hub"), "key").where("rep != hub").drop("hub"))
-    x, y = rest.alias("x"), rest.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2")).alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("rep") < F.col("rep2")) & (F.col("c") != F.col("c2")) & close("n", "n2"))
+    # Two exact bounds on the similarity of a pair across components. What one component alone holds is in no such
+    # intersection. And with all items in one order, rarest first, the starts of two sets decide what they share there;
+    # the rest of the set whose start ends earlier bounds what they share beyond.
+    inside = sets.join(rest.select("rep", "c").distinct(), "rep")
+    items = inside.select("rep", "c", F.explode("items").alias("item"))
+    known = items.groupBy("item").agg(F.count(F.lit(1)).alias("m"), (F.min("c") == F.max("c")).alias("own"))
+    code = F.shiftleft(F.least("m", F.lit((1 << 22) - 1)), 40).bitwiseOR(F.col("item").bitwiseAND(F.lit((1 << 40) - 1)))
+    bound = items.join(known, "item").groupBy("rep").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("own"), 0).otherwise(1)).alias("s"), F.sort_array(F.collect_list(code)).alias("start"))
+    bound = bound.where(100 * F.col("s") >= percent * F.col("n")).withColumn("start", F.slice("start", 1, (F.col("n") * 2 / 5 + 8).cast("int")))
+    rest = materialize(rest.join(bound, "rep"))
+    x, y = rest.alias("x"), rest.select("key", *[F.col(k).alias(f"{k}2") for k in ("rep", "c", "n", "s", "start")]).alias("y")
+    enough = lambda i: 100 * i >= percent * (F.col("n") + F.col("n2") - i)
+    beyond = F.when(F.element_at("start", -1) <= F.element_at("start2", -1), F.col("n") - F.size("start")).otherwise(F.col("n2") - F.size("start2"))
+    near = enough(F.least("s", "s2")) & enough(F.size(F.array_intersect("start", "start2")) + beyond)
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("rep") < F.col("rep2")) & (F.col("c") != F.col("c2")) & near)
     across = across.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
     more = materialize(verified(across, sets, percent))
-    return first if more.isEmpty() else components(links.unionByName(more), "a", "b")
+    return found if more.isEmpty() else components(links.unionByName(more), "a", "b")
