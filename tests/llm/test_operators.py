@@ -160,6 +160,22 @@ def test_line_dedup(docs, rows):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == want
 
 
+def test_line_bands_recall(spark):
+    """Pairs of short lines at a similarity of 0.8 or a little more meet in a band as often as independent values would."""
+    rng = random.Random(11)
+    k, pairs = line_dedup.SHINGLE, []
+    shingles = lambda x: {x[i : i + k] for i in range(len(x) - k + 1)}
+    while len(pairs) < 3000:
+        a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=k + rng.randint(8, 20)))
+        b = a[: len(a) - rng.randint(1, 4)]
+        both, union = len(shingles(a) & shingles(b)), len(shingles(a) | shingles(b))
+        if 0.8 <= both / union <= 0.85:
+            pairs.append((a, b))
+    table = spark.createDataFrame([(i, s, x) for i, p in enumerate(pairs) for s, x in enumerate(p)], "h1 long, h2 long, line string")
+    keys = line_dedup._bands(table).groupBy("h1", "key").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    assert keys.select("h1").distinct().count() >= 0.99 * len(pairs)
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs, block_words=16).collect()
     assert len(got) == len(rows)
