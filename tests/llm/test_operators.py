@@ -160,6 +160,22 @@ def test_line_dedup(docs, rows):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == want
 
 
+def test_line_edits_of_short_lines(spark):
+    """One edited character in lines of 40 to 100: the copy goes wherever the similarity is 0.8 by shingles of five."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(300):
+        a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40 + i % 61))
+        at = rng.randrange(len(a))
+        b = a[:at] + ("#" if a[at] != "#" else "+") + a[at + 1 :]
+        x, y = ({s[j : j + 5] for j in range(len(s) - 4)} for s in (a, b))
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        want[2 * i + 1] = 5 * len(x & y) >= 4 * len(x | y)
+    gone = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    due = {i for i, w in want.items() if w}
+    assert len(due) > 200 and gone <= due and len(due - gone) <= 0.01 * len(due)
+
+
 def test_line_bands_recall(spark):
     """Pairs of short lines at a similarity of 0.8 or a little more meet in a band as often as independent values would."""
     rng = random.Random(11)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import WORD, materialize
 from tickloom.llm.linking import linked
 
-#: Characters of a shingle, and the similarity in percent from which lines are one.
-SHINGLE, PERCENT = 10, 80
+#: Characters of a shingle, and the similarity in percent from which lines are one: one character edited inside a line
+#: of different shingles leaves it one from 49 characters.
+SHINGLE, PERCENT = 5, 80
 #: Bands of a signature, and values of a band. Lines at a similarity of 0.8 are missed with a probability of 2e-3, at
 #: 0.9 of 3e-6.
 BANDS, ROWS = 12, 4
