@@ -19,11 +19,11 @@ BUCKETS = 1024
 GOLDEN = 11400714819323198485
 
 
-def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, bucket, h): size in words, and the place in the shuffle. A null text has size 0."""
+def sized(docs: DataFrame, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, bucket, h, *carry): size in words, and the place in the shuffle. A null text has size 0."""
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.xxhash64("text"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.pmod(h, F.lit(BUCKETS)).alias("bucket"), h.alias("h"))
+    return docs.select("doc_id", "source", size.alias("size"), F.pmod(h, F.lit(BUCKETS)).alias("bucket"), h.alias("h"), *carry)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -76,19 +76,19 @@ def schedule(wanted: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return slots.join(slots.groupBy("sid").agg(F.count(F.lit(1)).alias("n_slots")), "sid")
 
 
-def mix_pieces(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+def mix_pieces(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces).
 
-    documents: doc_id, source, sid, size, source_size, target, at (start in the source's shuffled stream of words).
+    documents: doc_id, source, sid, size, source_size, target, *carry, at (start in the source's shuffled stream of words).
     pieces: position, sid, at, from_word, to_word: the words of a document that a position of the mix holds.
     A source's stream, shuffled by hash and read around again where its target asks for more than its size, is cut
     into as many blocks of equal words as it has slots; block r goes to slot r. The blocks of a source make up its
     target exactly, but for the rounding to words.
     """
-    sizes = materialize(sized(docs, seed))
+    sizes = materialize(sized(docs, seed, carry))
     wanted = materialize(targets(sizes))
     slots = materialize(schedule(wanted, block_words))
-    placed = sizes.alias("d").join(wanted.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "s.sid", "d.size", "s.source_size", "s.target", "d.bucket", "d.h")
+    placed = sizes.alias("d").join(wanted.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "s.sid", "d.size", "s.source_size", "s.target", "d.bucket", "d.h", *[f"d.{c}" for c in carry])
     placed = materialize(spread_totals(placed, ["sid"], "bucket", ["h", "size", "doc_id"], "size", "at").drop("bucket", "h"))
     n_slots = slots.groupBy("sid").agg(F.max("n_slots").alias("n"))
     span = placed.where("size > 0").select("sid", "size", "at", "source_size", F.round("target").cast("long").alias("t")).join(n_slots, "sid")
@@ -104,14 +104,14 @@ def mix_pieces(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -
     return placed, pieces.select("position", "sid", "at", (F.col("b0") - F.col("lo")).alias("from_word"), (F.col("b1") - F.col("lo")).alias("to_word"))
 
 
-def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row for each row of docs: doc_id, source, size, source_size, target, taken (words the mix takes of it).
+def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: doc_id, source, size, source_size, target, taken (words the mix takes of it), *carry (columns of docs).
 
     A document of no words is never taken. Rows that are alike in every column stay rows of their own. An empty table
     gives none. The same input and seed give the same mix.
     """
-    placed, pieces = mix_pieces(docs, seed, block_words)
+    placed, pieces = mix_pieces(docs, seed, block_words, carry)
     taken = pieces.groupBy("sid", "at").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     out = placed.join(taken, ["sid", "at"], "left")
     words = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", words.alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", words.alias("taken"), *carry)
