@@ -301,6 +301,57 @@ def test_classifier(spark, docs, rows):
     assert perplexity.classify(docs, none).count() == len(rows)
 
 
+def test_classifier_has_no_vocabulary_cap(spark):
+    """Perplexities against a plain Kneser-Ney model over all code points, in five scripts, with a small and no cache."""
+    rng = random.Random(13)
+    scripts = ["abcdefghij", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x3B1, 0x3C9))), "".join(map(chr, range(0x4E00, 0x4E80))), "\U0001f600\U0001f601"]
+    words = [["".join(rng.choices(s, k=4)) for _ in range(12)] for s in scripts]
+    good = [" ".join(rng.choices(words[i % 5], k=30)) for i in range(60)]
+    junk = ["".join(rng.choices(s, k=120)) for s in scripts[1:4]] + ["\u0e01\u0e02\u0e03" * 20, "0", ""]
+    texts = good + junk + [None, good[0]]
+    start, size = perplexity.START, perplexity.ORDER
+    grams = [{} for _ in range(size + 1)]
+    for t in good:
+        s = [start] * (size - 1) + [ord(c) for c in t]
+        for i in range(size - 1, len(s)):
+            g = tuple(s[i - size + 1 : i + 1])
+            grams[size][g] = grams[size].get(g, 0) + 1
+    for k in range(size - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    sums, cut = {}, {}
+    for k in range(1, size + 1):
+        c1, c2, c3, c4 = (sum(n == i for n in grams[k].values()) for i in (1, 2, 3, 4))
+        y = c1 / (c1 + 2 * c2) if c1 + c2 else 0.5
+        cut[k] = [min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) if a and b else 0.5 for i, a, b in ((1, c1, c2), (2, c2, c3), (3, c3, c4))]
+        for g, n in grams[k].items():
+            total, back = sums.get((k, g[:-1]), (0, 0.0))
+            sums[k, g[:-1]] = (total + n, back + cut[k][min(n, 3) - 1])
+
+    def prob(g):
+        if not g:
+            return 1 / perplexity.VOCABULARY
+        k, n = len(g), grams[len(g)].get(g, 0)
+        total, back = sums.get((k, g[:-1]), (1, 1.0))
+        return ((n - cut[k][min(n, 3) - 1]) / total if n else 0) + back / total * prob(g[1:])
+
+    def want(t):
+        s = [start] * (size - 1) + [ord(c) for c in t or ""]
+        bits = [np.log2(prob(tuple(s[i - size + 1 : i + 1]))) for i in range(size - 1, len(s))]
+        return 2 ** -np.mean(bits) if bits else None
+
+    docs = spark.createDataFrame([(i, t, "x", False) for i, t in enumerate(texts)], "doc_id long, text string, lang string, held boolean")
+    letters, model = perplexity.train(docs.where(f"doc_id < {len(good)}"))
+    for most in (perplexity.TAIL, 50):
+        old, perplexity.TAIL = perplexity.TAIL, most
+        try:
+            got = {r.doc_id: r.perplexity for r in perplexity.scores(docs, letters, model).collect()}
+        finally:
+            perplexity.TAIL = old
+        assert len(got) == len(texts)
+        assert all(got[i] is None if want(t) is None else got[i] == pytest.approx(want(t), rel=1e-4) for i, t in enumerate(texts))
+    assert min(got[len(good) + i] for i in range(3)) > 3 * max(got[i] for i in range(len(good)))
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(i % 30, f"http://x/{i}", f"<p>é{i}</p>" * (i % 5)) for i in range(80)] + [(None, None, None)], "page_id long, url string, html string")
     records = warc.to_records(pages, 2000).collect()

@@ -10,78 +10,94 @@ from pyspark.sql import functions as F
 from tickloom.llm import kernels as K
 from tickloom.llm.common import materialize
 
-#: Symbols of the model: the most frequent SYMBOLS - 2 characters of trusted text, 1 for any other, 0 for the start of
-#: a text. An n-gram is a number below SYMBOLS ** ORDER, which bounds every table by 16.8 million rows.
-SYMBOLS, ORDER = 64, 4
+#: Length of an n-gram. A symbol is a code point or START, which stands before a text; VOCABULARY is how many there are.
+#: A context of ORDER - 1 symbols is one number, BITS for each.
+ORDER, BITS, START = 4, 21, 0x110000
+VOCABULARY = START + 1
+#: What workers look up without a join: all n-grams of the SYMBOLS - 2 most frequent characters (ids from 2; 1 is any
+#: other, 0 is START), and the TAIL most frequent of all other n-grams. The rest is joined with the whole model.
+SYMBOLS, TAIL = 64, 500_000
+#: Different n-grams that a worker counts before it hands them on.
+HELD = 1_000_000
+#: Distinct n-grams looked up by join that are broadcast to the documents; beyond, they are joined by shuffle.
+BROADCAST_GRAMS = 1_000_000
 #: Documents are dropped whose perplexity lies outside these quantiles of the trusted documents of their language.
 LOW, HIGH = 0.002, 0.998
 #: Fewer trusted documents than this in a language leave it without thresholds.
 LEAST_TRUSTED = 50
 
 
-def _letters():
-    schema = pa.schema([("letter", pa.int32()), ("n", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            for _, data, _ in K.slices(batch.column("text")):
-                code, n = np.unique(np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), return_counts=True)
-                yield pa.record_batch([pa.array(code.astype(np.int32)), pa.array(n)], schema=schema)
-
-    return run
-
-
-def _symbols(letters: dict[int, int], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram ending at each character, row of each): a text is preceded by ORDER - 1 start symbols."""
-    table = np.ones(0x110000, np.int64)
-    table[list(letters)] = list(letters.values())
-    code = table[np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+def _spread(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, place of each character among them, row of each): a text is preceded by ORDER - 1 START."""
+    code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    pad = ORDER - 1
     size = np.diff(chars)
     row = np.repeat(np.arange(len(size)), size)
-    spread = np.zeros(len(code) + pad * len(size), np.int64)
-    at = np.arange(len(code)) + pad * (row + 1)
+    spread = np.full(len(code) + (ORDER - 1) * len(size), START, np.int64)
+    at = np.arange(len(code)) + (ORDER - 1) * (row + 1)
     spread[at] = code
-    gram = np.zeros(len(code), np.int64)
-    for k in range(pad, -1, -1):
-        gram = gram * SYMBOLS + spread[at - k]
-    return gram, row
+    return spread, at, row
+
+
+def _context(spread: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), np.int64)
+    for k in range(ORDER - 1, 0, -1):
+        out = (out << BITS) | spread[at - k]
+    return out
+
+
+def _key(context: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix(context.astype(np.uint64)) + letter.astype(np.uint64))
+
+
+def _counts():
+    schema = pa.schema([("context", pa.int64()), ("letter", pa.int32()), ("n", pa.int64())])
 
+    def merged(parts):
+        key, context, letter, n = (np.concatenate(x) for x in zip(*parts))
+        key, first, which = np.unique(key, return_index=True, return_inverse=True)
+        return key, context[first], letter[first], np.bincount(which, n, len(key)).astype(np.int64)
 
-def _counts(letters: dict[int, int]):
-    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+    def out(part):
+        for k in range(0, len(part[0]), 100_000):
+            _, context, letter, n = (x[k : k + 100_000] for x in part)
+            yield pa.record_batch([pa.array(context), pa.array(letter.astype(np.int32)), pa.array(n)], schema=schema)
 
     def run(batches):
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
+        held, more = None, []
         for batch in batches:
             for _, data, offsets in K.slices(batch.column("text")):
-                gram, _ = _symbols(letters, data, offsets)
-                code, n = np.unique(gram, return_counts=True)
-                total[code] += n
-        gram = np.flatnonzero(total)
-        for k in range(0, len(gram), 100_000):
-            part = gram[k : k + 100_000]
-            yield pa.record_batch([pa.array(part), pa.array(total[part])], schema=schema)
+                spread, at, _ = _spread(data, offsets)
+                context, letter = _context(spread, at), spread[at]
+                key, first, n = np.unique(_key(context, letter), return_index=True, return_counts=True)
+                more.append((key, context[first], letter[first], n))
+                if sum(len(x[0]) for x in more) > HELD:
+                    held, more = merged([*([held] if held else []), *more]), []
+                    if len(held[0]) > HELD:
+                        yield from out(held)
+                        held = None
+        if held or more:
+            yield from out(merged([*([held] if held else []), *more]))
 
     return run
 
 
 def train(trusted: DataFrame) -> tuple[dict[int, int], DataFrame]:
-    """(letters, model) from all trusted texts; model: order, gram, logp, log_back (of the gram as a context).
+    """(letters, model) from trusted texts; letters: ids of the most frequent characters; model: order, context,
+    letter, value, n. A row of order k has the probability of letter after context (k - 1 symbols) and its count n;
+    one of order -k the share that the context leaves to the order below. Any code point is a letter.
 
     Counts are made on every partition, summed by n-gram (sharded by its hash), and joined: each order's counts with
     the sums of their contexts and with the probabilities of the order below. The highest order counts occurrences,
     the lower ones the different characters to the left; discounts are the modified ones (for 1, 2, and 3 or more).
+    Below the lowest order every symbol is as likely as any other.
     """
-    trusted = trusted.select("text")
-    letter_counts = trusted.mapInArrow(_letters(), "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    top = letter_counts.orderBy(F.col("n").desc(), "letter").limit(SYMBOLS - 2).collect()
-    letters = {r["letter"]: i + 2 for i, r in enumerate(top)}
-    counts = trusted.mapInArrow(_counts(letters), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = trusted.select("text").mapInArrow(_counts(), "context long, letter int, n long").groupBy("context", "letter").agg(F.sum("n").alias("n"))
     orders = {ORDER: materialize(counts)}
+    top = orders[ORDER].groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "letter").limit(SYMBOLS - 2).collect()
+    letters = {r["letter"]: i + 2 for i, r in enumerate(top)}
     for k in range(ORDER - 1, 0, -1):
-        orders[k] = materialize(orders[k + 1].groupBy((F.col("gram") % SYMBOLS**k).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        orders[k] = materialize(orders[k + 1].groupBy(_last("context", k - 1).alias("context"), "letter").agg(F.count(F.lit(1)).alias("n")))
     lower, model = None, None
     for k in range(1, ORDER + 1):
         n = F.col("n")
@@ -90,50 +106,154 @@ def train(trusted: DataFrame) -> tuple[dict[int, int], DataFrame]:
         y = c1 / (c1 + 2 * c2) if c1 + c2 else 0.5
         d = [min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) if a and b else 0.5 for i, a, b in ((1, c1, c2), (2, c2, c3), (3, c3, c4))]
         discount = F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-        rows = orders[k].withColumn("context", F.expr(f"gram div {SYMBOLS}"))
+        rows = orders[k]
         sums = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("kept_back"))
         rows = rows.join(sums, "context").withColumn("own", (n - discount) / F.col("total")).withColumn("back", F.col("kept_back") / F.col("total"))
         if lower is None:
-            rows = rows.withColumn("below", F.lit(1.0 / SYMBOLS))
+            rows = rows.withColumn("below", F.lit(1.0 / VOCABULARY))
         else:
-            rows = rows.withColumn("suffix", F.col("gram") % SYMBOLS ** (k - 1)).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
-        lower = materialize(rows.select("gram", "context", (F.col("own") + F.col("back") * F.col("below")).alias("p"), "back"))
-        found = lower.select(F.lit(k).alias("order"), "gram", F.col("p").alias("value")).unionByName(lower.select(F.lit(-k).alias("order"), F.col("context").alias("gram"), F.col("back").alias("value")).distinct())
+            below = lower.select(F.col("context").alias("suffix"), "letter", F.col("p").alias("below"))
+            rows = rows.withColumn("suffix", _last("context", k - 2)).join(below, ["suffix", "letter"])
+        lower = materialize(rows.select("context", "letter", (F.col("own") + F.col("back") * F.col("below")).alias("p"), "back", "n"))
+        found = lower.select(F.lit(k).alias("order"), "context", "letter", F.col("p").alias("value"), "n")
+        backs = lower.groupBy("context").agg(F.first("back").alias("value"))
+        found = found.unionByName(backs.select(F.lit(-k).alias("order"), "context", F.lit(0).alias("letter"), "value", F.lit(0).cast("long").alias("n")))
         model = found if model is None else model.unionByName(found)
     return letters, materialize(model)
 
 
-def dense(rows: list[tuple[int, int, float]] | pa.Table) -> np.ndarray:
-    """log2 probability of every n-gram of the highest order, from the model's rows: bounded by SYMBOLS ** ORDER."""
-    order, gram, value = (np.asarray(rows.column(c)) for c in ("order", "gram", "value"))
-    p = np.full(1, 1.0 / SYMBOLS)
+def _last(context: str, k: int):
+    """The last k symbols of a context."""
+    return F.col(context).bitwiseAND(F.lit((1 << BITS * k) - 1).cast("long"))
+
+
+def _ids(letters: dict[int, int]) -> np.ndarray:
+    table = np.ones(VOCABULARY, np.int64)
+    table[START] = 0
+    table[list(letters)] = list(letters.values())
+    return table
+
+
+def dense(rows: pa.Table, letters: dict[int, int] | None = None) -> np.ndarray:
+    """log2 probability of every n-gram of letters (by default the likeliest of the model), START and, as one, all else.
+
+    Bounded by SYMBOLS ** ORDER. What stands for all else is only right where the model has no other letter.
+    """
+    order, context, letter, value = (np.asarray(rows.column(c)) for c in ("order", "context", "letter", "value"))
+    if letters is None:
+        one = order == 1
+        letters = {x: i + 2 for i, x in enumerate(letter[one][np.argsort(-value[one], kind="stable")][: SYMBOLS - 2].tolist())}
+    ids = _ids(letters)
+    at, known = np.zeros(len(order), np.int64), np.ones(len(order), bool)
+    for k in range(ORDER - 2, -1, -1):
+        there = np.abs(order) > k + 1
+        symbol = np.where(there, ids[np.where(there, (context >> (BITS * k)) & ((1 << BITS) - 1), START)], 0)
+        at, known = at * SYMBOLS + symbol, known & (symbol != 1)
+    mine = ids[letter]
+    p = np.zeros(SYMBOLS)
+    p[[0, *letters.values()]] = 1 / VOCABULARY
+    p[1] = 1 - p.sum()
     for k in range(1, ORDER + 1):
         back = np.ones(SYMBOLS ** (k - 1))
-        mine = order == -k
-        back[gram[mine]] = value[mine]
-        wide = (back.astype(np.float32)[:, None] * np.resize(p, SYMBOLS**k if k > 1 else SYMBOLS).astype(np.float32).reshape(-1, SYMBOLS)).ravel()
-        mine = order == k
-        wide[gram[mine]] = value[mine]
+        of = known & (order == -k)
+        back[at[of]] = value[of]
+        wide = (back.astype(np.float32)[:, None] * np.resize(p, SYMBOLS**k).astype(np.float32).reshape(-1, SYMBOLS)).ravel()
+        of = known & (order == k) & (mine != 1)
+        wide[at[of] * SYMBOLS + mine[of]] = value[of]
         p = wide
-    return np.log2(p).astype(np.float32)
+    with np.errstate(divide="ignore"):
+        return np.log2(p).astype(np.float32)
+
+
+def _cache(letters: dict[int, int], model: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table, keys, values): what SYMBOLS and TAIL describe, as log2 probabilities; both are bounded."""
+    near = [F.lit(x) for x in [*letters, START]]
+    symbols = [F.shiftright("context", BITS * k).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int") for k in range(ORDER - 1)]
+    frequent = (F.col("order") < 0) | F.col("letter").isin(*near)
+    for k, x in enumerate(symbols):
+        frequent &= (F.abs("order") <= k + 1) | x.isin(*near)
+    table = dense(model.where(frequent).select("order", "context", "letter", "value").toArrow(), letters)
+    tail = model.where((F.col("order") == ORDER) & ~frequent)
+    least, total = 1, 0
+    for r in tail.groupBy("n").count().orderBy(F.col("n").desc()).collect():
+        total += r["count"]
+        if total > TAIL:
+            least = r["n"] + 1
+            break
+    rows = tail.where(F.col("n") >= least).select("context", "letter", "value").toArrow()
+    context, letter, value = (np.asarray(rows.column(c)) for c in ("context", "letter", "value"))
+    keys = _key(context, letter)
+    by = np.argsort(keys)
+    return table, keys[by], np.log2(value[by])
 
 
 def _scores(letters: dict[int, int], shared):
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("perplexity", pa.float64())])
+    gap = pa.struct([("context", pa.int64()), ("letter", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("held", pa.bool_()), ("n_chars", pa.int64()), ("bits", pa.float64()), ("gaps", pa.list_(gap))])
 
     def run(batches):
-        table = shared.value
+        table, keys, values = shared.value
+        ids = _ids(letters)
         for batch in batches:
             for r, data, offsets in K.slices(batch.column("text")):
-                gram, row = _symbols(letters, data, offsets)
-                n = np.bincount(row, minlength=len(offsets) - 1)
-                bits = np.bincount(row, table[gram], minlength=len(offsets) - 1)
-                score = np.exp2(-bits / np.maximum(n, 1))
-                yield pa.record_batch([batch.column("doc_id").slice(r, len(n)), batch.column("lang").slice(r, len(n)), pa.array(n.astype(np.int64)), pa.array(score, mask=n == 0)], schema=schema)
+                spread, at, row = _spread(data, offsets)
+                near, rows = ids[spread], len(offsets) - 1
+                gram, rare = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+                for k in range(ORDER - 1, -1, -1):
+                    symbol = near[at - k]
+                    gram, rare = gram * SYMBOLS + symbol, rare | (symbol == 1)
+                n = np.bincount(row, minlength=rows)
+                bits = np.bincount(row, np.where(rare, 0, table[gram]), minlength=rows)
+                at, row = at[rare], row[rare]
+                context, letter = _context(spread, at), spread[at]
+                key = _key(context, letter)
+                if len(keys):
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    hit = keys[place] == key
+                    bits += np.bincount(row[hit], values[place[hit]], minlength=rows)
+                    context, letter, key, row = context[~hit], letter[~hit], key[~hit], row[~hit]
+                by = np.lexsort((key, row))
+                context, letter, key, row = context[by], letter[by], key[by], row[by]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(key)))
+                gaps = pa.StructArray.from_arrays([pa.array(context[first]), pa.array(letter[first].astype(np.int32)), pa.array(times)], fields=list(gap))
+                ends = np.searchsorted(row[first], np.arange(rows + 1)).astype(np.int32)
+                kept = [batch.column(c).slice(r, rows) for c in ("row", "doc_id", "lang", "held")]
+                yield pa.record_batch([*kept, pa.array(n.astype(np.int64)), pa.array(bits), pa.ListArray.from_arrays(pa.array(ends), gaps)], schema=schema)
 
     return run
 
 
+def _looked_up(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(context, letter, bits) of distinct n-grams by joins with the model, from the highest order down."""
+    df = grams.withColumn("p", F.lit(None).cast("double")).withColumn("left", F.lit(1.0))
+    for k in range(ORDER, 0, -1):
+        own = model.where(F.col("order") == k).select(F.col("context").alias("c"), "letter", F.col("value").alias("own"))
+        back = model.where(F.col("order") == -k).select(F.col("context").alias("c"), F.col("value").alias("back"))
+        # as many rows as code points at most
+        own, back = F.broadcast(own) if k == 1 else own, F.broadcast(back) if k <= 2 else back
+        df = df.withColumn("c", _last("context", k - 1)).join(own, ["c", "letter"], "left").join(back, "c", "left")
+        df = df.select("context", "letter", F.coalesce("p", F.col("left") * F.col("own")).alias("p"), (F.col("left") * F.coalesce("back", F.lit(1.0))).alias("left"))
+    return df.select("context", "letter", F.log2(F.coalesce("p", F.col("left") / VOCABULARY)).alias("bits"))
+
+
+def scores(docs: DataFrame, letters: dict[int, int], model: DataFrame) -> DataFrame:
+    """doc_id, lang, held, n_chars, perplexity (by character, null for an empty text) of each row of docs, which has text besides."""
+    shared = docs.sparkSession.sparkContext.broadcast(_cache(letters, model))
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "lang", "held", "text")
+    found = materialize(rows.mapInArrow(_scores(letters, shared), "row long, doc_id long, lang string, held boolean, n_chars long, bits double, gaps array<struct<context:long,letter:int,n:long>>"))
+    gaps = found.select("row", F.explode("gaps").alias("g")).select("row", "g.*")
+    bits = materialize(_looked_up(gaps.select("context", "letter").distinct(), model))
+    if not bits.isEmpty():
+        bits = F.broadcast(bits) if bits.count() <= BROADCAST_GRAMS else bits
+        more = gaps.join(bits, ["context", "letter"]).groupBy("row").agg(F.sum(F.col("n") * F.col("bits")).alias("more"))
+        found = found.drop("gaps").join(more, "row", "left").withColumn("bits", F.col("bits") + F.coalesce("more", F.lit(0.0)))
+    score = F.when(F.col("n_chars") > 0, F.pow(F.lit(2.0), -F.col("bits") / F.col("n_chars")))
+    return found.select("doc_id", "lang", "held", "n_chars", score.alias("perplexity"))
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, lang, n_chars, perplexity, low, high, kept.
 
@@ -143,13 +263,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     than LEAST_TRUSTED trusted documents has no thresholds (null) and keeps all. With no trusted text at all every
     character is as likely as any other. Null languages are one. An empty table gives none.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
     letters, model = train(docs.join(good, "doc_id", "left_semi"))
-    shared = spark.sparkContext.broadcast(dense(model.toArrow()))  # SYMBOLS ** ORDER floats: 67 MB at any size of input
-    scored = docs.mapInArrow(_scores(letters, shared), "doc_id long, lang string, n_chars long, perplexity double")
-    scored = materialize(scored.withColumn("_lang", F.coalesce("lang", F.lit(""))))
+    scored = materialize(scores(docs.withColumn("held", F.lit(True)), letters, model).withColumn("_lang", F.coalesce("lang", F.lit(""))))
     p = "perplexity"
     cuts = scored.join(good, "doc_id", "left_semi").where(F.col(p).isNotNull()).groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(p, LOW, 100_000).alias("low"), F.percentile_approx(p, HIGH, 100_000).alias("high"))
     out = scored.join(F.broadcast(cuts.where(F.col("n") >= LEAST_TRUSTED).drop("n")) if cuts.count() < 10_000 else cuts, "_lang", "left")
