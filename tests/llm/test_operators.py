@@ -339,7 +339,7 @@ def test_classifier_has_no_vocabulary_cap(spark):
         bits = [np.log2(prob(tuple(s[i - size + 1 : i + 1]))) for i in range(size - 1, len(s))]
         return 2 ** -np.mean(bits) if bits else None
 
-    docs = spark.createDataFrame([(i, t, "x", False) for i, t in enumerate(texts)], "doc_id long, text string, lang string, held boolean")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     letters, model = perplexity.train(docs.where(f"doc_id < {len(good)}"))
     for most in (perplexity.TAIL, 50):
         old, perplexity.TAIL = perplexity.TAIL, most
@@ -352,6 +352,21 @@ def test_classifier_has_no_vocabulary_cap(spark):
     assert min(got[len(good) + i] for i in range(3)) > 3 * max(got[i] for i in range(len(good)))
 
 
+def test_classifier_rejects_junk(spark):
+    """Labelled junk goes, trusted text stays; a language with few trusted documents has thresholds too."""
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(300)]
+    good = [" ".join(rng.choices(words, k=rng.randint(60, 120))) for _ in range(600)]
+    odd = ["".join(rng.choices("qrstuvwxyz", k=300)) for _ in range(2)]  # trusted by mistake
+    junk = [x for i in range(40) for x in ("the " * (50 + i), "".join(rng.choices("abcdefghijklmnop #!7", k=300)))]
+    rows = [(i, t, "en" if i % 20 else "small") for i, t in enumerate([*good, *odd, *junk])]
+    labels = [(i, int(i < 602), 0) for i in range(len(rows))]
+    got = {r.doc_id: r for r in perplexity.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[i].low is not None and got[i].high is not None for i in got)
+    assert sum(got[i].kept for i in range(600)) >= 0.95 * 600
+    assert sum(got[i].kept for i in range(602, len(rows))) <= 0.02 * len(junk)
+
+
 def test_warc(spark, tmp_path):
     pages = spark.createDataFrame([(i % 30, f"http://x/{i}", f"<p>é{i}</p>" * (i % 5)) for i in range(80)] + [(None, None, None)], "page_id long, url string, html string")
     records = warc.to_records(pages, 2000).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,9 +23,10 @@ SYMBOLS, TAIL = 64, 500_000
 HELD = 1_000_000
 #: Distinct n-grams looked up by join that are broadcast to the documents; beyond, they are joined by shuffle.
 BROADCAST_GRAMS = 1_000_000
-#: Documents are dropped whose perplexity lies outside these quantiles of the trusted documents of their language.
-LOW, HIGH = 0.002, 0.998
-#: Fewer trusted documents than this in a language leave it without thresholds.
+#: Documents are dropped whose perplexity lies outside these quantiles of the trusted documents of their language. Texts
+#: are dealt into FOLDS by hash, and each is scored by the model of the trusted texts of the other folds.
+LOW, HIGH, FOLDS = 0.01, 0.99, 2
+#: A language with fewer trusted documents than this has the quantiles of those of all languages.
 LEAST_TRUSTED = 50
 
 
@@ -157,16 +160,18 @@ def dense(rows: pa.Table, letters: dict[int, int] | None = None) -> np.ndarray:
         back = np.ones(SYMBOLS ** (k - 1))
         of = known & (order == -k)
         back[at[of]] = value[of]
-        wide = (back.astype(np.float32)[:, None] * np.resize(p, SYMBOLS**k).astype(np.float32).reshape(-1, SYMBOLS)).ravel()
+        wide = np.resize(p.astype(np.float32), SYMBOLS**k)
+        by_context = wide.reshape(-1, SYMBOLS)
+        by_context *= back.astype(np.float32)[:, None]
         of = known & (order == k) & (mine != 1)
         wide[at[of] * SYMBOLS + mine[of]] = value[of]
         p = wide
     with np.errstate(divide="ignore"):
-        return np.log2(p).astype(np.float32)
+        return np.log2(p, out=p)
 
 
-def _cache(letters: dict[int, int], model: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(table, keys, values): what SYMBOLS and TAIL describe, as log2 probabilities; both are bounded."""
+def _cache(letters: dict[int, int], model: DataFrame) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(table, keys, values): what SYMBOLS and TAIL describe, as log2 probabilities; both are bounded. The table is packed by zstd."""
     near = [F.lit(x) for x in [*letters, START]]
     symbols = [F.shiftright("context", BITS * k).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int") for k in range(ORDER - 1)]
     frequent = (F.col("order") < 0) | F.col("letter").isin(*near)
@@ -184,15 +189,16 @@ def _cache(letters: dict[int, int], model: DataFrame) -> tuple[np.ndarray, np.nd
     context, letter, value = (np.asarray(rows.column(c)) for c in ("context", "letter", "value"))
     keys = _key(context, letter)
     by = np.argsort(keys)
-    return table, keys[by], np.log2(value[by])
+    return pa.compress(pa.py_buffer(table), "zstd", asbytes=True), keys[by], np.log2(value[by])
 
 
 def _scores(letters: dict[int, int], shared):
     gap = pa.struct([("context", pa.int64()), ("letter", pa.int32()), ("n", pa.int64())])
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("held", pa.bool_()), ("n_chars", pa.int64()), ("bits", pa.float64()), ("gaps", pa.list_(gap))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("bits", pa.float64()), ("gaps", pa.list_(gap))])
 
     def run(batches):
-        table, keys, values = shared.value
+        packed, keys, values = shared.value
+        table = np.frombuffer(pa.decompress(packed, 4 * SYMBOLS**ORDER, "zstd"), np.float32)
         ids = _ids(letters)
         for batch in batches:
             for r, data, offsets in K.slices(batch.column("text")):
@@ -220,7 +226,7 @@ def _scores(letters: dict[int, int], shared):
                 times = np.diff(np.append(first, len(key)))
                 gaps = pa.StructArray.from_arrays([pa.array(context[first]), pa.array(letter[first].astype(np.int32)), pa.array(times)], fields=list(gap))
                 ends = np.searchsorted(row[first], np.arange(rows + 1)).astype(np.int32)
-                kept = [batch.column(c).slice(r, rows) for c in ("row", "doc_id", "lang", "held")]
+                kept = [batch.column(c).slice(r, rows) for c in ("row", "doc_id", "lang")]
                 yield pa.record_batch([*kept, pa.array(n.astype(np.int64)), pa.array(bits), pa.ListArray.from_arrays(pa.array(ends), gaps)], schema=schema)
 
     return run
@@ -240,10 +246,11 @@ def _looked_up(grams: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def scores(docs: DataFrame, letters: dict[int, int], model: DataFrame) -> DataFrame:
-    """doc_id, lang, held, n_chars, perplexity (by character, null for an empty text) of each row of docs, which has text besides."""
+    """doc_id, lang, n_chars, perplexity (by character, null for an empty text) of each row of docs (doc_id, lang, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(_cache(letters, model))
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "lang", "held", "text")
-    found = materialize(rows.mapInArrow(_scores(letters, shared), "row long, doc_id long, lang string, held boolean, n_chars long, bits double, gaps array<struct<context:long,letter:int,n:long>>"))
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "lang", "text")
+    found = materialize(rows.mapInArrow(_scores(letters, shared), "row long, doc_id long, lang string, n_chars long, bits double, gaps array<struct<context:long,letter:int,n:long>>"))
+    shared.destroy()  # found is written
     gaps = found.select("row", F.explode("gaps").alias("g")).select("row", "g.*")
     bits = materialize(_looked_up(gaps.select("context", "letter").distinct(), model))
     if not bits.isEmpty():
@@ -251,24 +258,36 @@ def scores(docs: DataFrame, letters: dict[int, int], model: DataFrame) -> DataFr
         more = gaps.join(bits, ["context", "letter"]).groupBy("row").agg(F.sum(F.col("n") * F.col("bits")).alias("more"))
         found = found.drop("gaps").join(more, "row", "left").withColumn("bits", F.col("bits") + F.coalesce("more", F.lit(0.0)))
     score = F.when(F.col("n_chars") > 0, F.pow(F.lit(2.0), -F.col("bits") / F.col("n_chars")))
-    return found.select("doc_id", "lang", "held", "n_chars", score.alias("perplexity"))
+    return found.select("doc_id", "lang", "n_chars", score.alias("perplexity"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, lang, n_chars, perplexity, low, high, kept.
 
-    Trusted are the documents with a label of quality 1 and none of quality 0 or toxic; the model is trained on all of
-    their texts. A document is kept if its perplexity by character lies between the LOW and HIGH quantiles of the
-    trusted ones of its language. Empty and null texts have no perplexity and are not kept. A language with fewer
-    than LEAST_TRUSTED trusted documents has no thresholds (null) and keeps all. With no trusted text at all every
-    character is as likely as any other. Null languages are one. An empty table gives none.
+    Trusted are the documents with a label of quality 1 and none of quality 0 or toxic. No text is scored by a model that
+    it trained, so every trusted document is held out when thresholds are taken; only where a fold has no trusted text
+    does the model of all of them score all. A document is kept if its perplexity by character lies between the LOW and
+    HIGH quantiles of the trusted ones of its language, or of all languages if its own has fewer than LEAST_TRUSTED.
+    Empty and null texts have no perplexity and are not kept. Only with no trusted text at all are there no thresholds
+    (null) and every text is kept. Null languages are one. An empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
-    letters, model = train(docs.join(good, "doc_id", "left_semi"))
-    scored = materialize(scores(docs.withColumn("held", F.lit(True)), letters, model).withColumn("_lang", F.coalesce("lang", F.lit(""))))
+    docs = docs.withColumn("fold", F.coalesce(F.pmod(F.xxhash64("text"), F.lit(FOLDS)), F.lit(0)).cast("int"))
+    trusted = docs.join(good, "doc_id", "left_semi").where("text != ''")
+    if trusted.select("fold").distinct().count() == FOLDS:
+        parts = [scores(docs.where(F.col("fold") == i), *train(trusted.where(F.col("fold") != i))) for i in range(FOLDS)]
+        scored = reduce(DataFrame.unionByName, parts)
+    else:
+        scored = scores(docs, *train(trusted))
+    scored = materialize(scored.withColumn("_lang", F.coalesce("lang", F.lit(""))))
     p = "perplexity"
-    cuts = scored.join(good, "doc_id", "left_semi").where(F.col(p).isNotNull()).groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(p, LOW, 100_000).alias("low"), F.percentile_approx(p, HIGH, 100_000).alias("high"))
-    out = scored.join(F.broadcast(cuts.where(F.col("n") >= LEAST_TRUSTED).drop("n")) if cuts.count() < 10_000 else cuts, "_lang", "left")
+    sure = scored.join(good, "doc_id", "left_semi").where(F.col(p).isNotNull())
+    quantiles = F.count(F.lit(1)).alias("n"), F.percentile_approx(p, LOW, 100_000).alias("low"), F.percentile_approx(p, HIGH, 100_000).alias("high")
+    cuts = sure.groupBy("_lang").agg(*quantiles).where(F.col("n") >= LEAST_TRUSTED).drop("n")
+    pooled = sure.agg(*quantiles).first()
+    out = scored.join(F.broadcast(cuts) if cuts.count() < 10_000 else cuts, "_lang", "left")
+    for name in ("low", "high"):
+        out = out.withColumn(name, F.coalesce(name, F.lit(pooled[name]).cast("double")))
     inside = F.coalesce((F.col(p) >= F.col("low")) & (F.col(p) <= F.col("high")), F.lit(True))
     return out.select("doc_id", "lang", "n_chars", p, "low", "high", (F.col(p).isNotNull() & inside).alias("kept"))
