@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -89,7 +90,19 @@ def test_super_minhash_estimates_similarity():
     values = np.concatenate([common, a, common, b, common[:1]])
     s = near_dedup.super_minhash(values, np.array([0, 700, 1400, 1401, 1401]), 256)
     assert abs((s[0] == s[1]).mean() - 0.75) < 0.1
-    assert (s[3] == np.iinfo(np.uint64).max).all() and sorted((s[2] >> np.uint64(56)).tolist()) == list(range(256))
+    assert (s[3] == np.iinfo(np.uint64).max).all() and sorted((s[2] >> np.uint64(54)).tolist()) == list(range(256))
+
+
+def test_super_minhash_of_few_elements_fills_all_places():
+    """More places than 256 rounds, and sets in several blocks: every element offers at every place."""
+    x = np.arange(1, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    whole = near_dedup.super_minhash(x, np.array([0, 1, 7]), 308)
+    assert sorted((whole[0] >> np.uint64(54)).tolist()) == list(range(308))
+    old, near_dedup.BLOCK = near_dedup.BLOCK, 2
+    try:
+        assert (near_dedup.super_minhash(x, np.array([0, 1, 7]), 308) == whole).all()
+    finally:
+        near_dedup.BLOCK = old
 
 
 def units(text, by_word):
@@ -177,19 +190,29 @@ def test_line_edits_of_short_lines(spark):
 
 
 def test_line_bands_recall(spark):
-    """Pairs of short lines at a similarity of 0.8 or a little more meet in a band as often as independent values would."""
+    """Pairs of lines at a similarity of 0.8 or a little more meet in a band as often as independent values would, at
+    every length and across the bounds of the two ways, with shingles that repeat and without."""
     rng = random.Random(11)
     k, pairs = line_dedup.SHINGLE, []
     shingles = lambda x: {x[i : i + k] for i in range(len(x) - k + 1)}
-    while len(pairs) < 3000:
-        a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=k + rng.randint(8, 20)))
-        b = a[: len(a) - rng.randint(1, 4)]
-        both, union = len(shingles(a) & shingles(b)), len(shingles(a) | shingles(b))
-        if 0.8 <= both / union <= 0.85:
-            pairs.append((a, b))
-    table = spark.createDataFrame([(i, s, x) for i, p in enumerate(pairs) for s, x in enumerate(p)], "h1 long, h2 long, line string")
-    keys = line_dedup._bands(table).groupBy("h1", "key").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-    assert keys.select("h1").distinct().count() >= 0.99 * len(pairs)
+    for least, most, times in ((8, 20, 1), (60, 130, 1), (125, 160, 1), (150, 205, 1), (190, 260, 1), (250, 500, 1), (30, 80, 6)):
+        found = 0
+        while found < 600:
+            a = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=k + rng.randint(least, most)))
+            b = a[: len(a) - rng.randint(1, max(4, len(a) // 5))]
+            b = b * rng.randint(1, times) if times > 1 else b
+            both, union = len(shingles(a) & shingles(b)), len(shingles(a) | shingles(b))
+            if 0.8 <= both / union <= 0.85:
+                pairs.append((a, b))
+                found += 1
+    table = spark.createDataFrame([(2 * i + s, x) for i, p in enumerate(pairs) for s, x in enumerate(p)], "h1 long, line string")
+    bands = line_dedup.line_bands(table)
+    keys = bands.select("rep", F.explode("keys").alias("key")).withColumn("pair", F.expr("rep div 2")).groupBy("pair", "key").agg(F.countDistinct("rep").alias("n")).where("n = 2")
+    got = Counter(r.pair // 600 for r in keys.select("pair").distinct().collect())
+    assert all(got[i] >= 0.99 * 600 for i in range(7)), got
+    met = line_dedup.sketched(keys.selectExpr("2 * pair as rep", "key", "pair").unionByName(keys.selectExpr("2 * pair + 1 as rep", "key", "pair")), bands)
+    apart = met.groupBy("pair", "key").agg(F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), [F.bit_xor(s) for s in line_dedup.SKETCH])).alias("n")).groupBy("pair").agg(F.min("n").alias("n"))
+    assert apart.where(F.col("n") > line_dedup.DIFFER).count() <= 2
 
 
 def test_mixing(docs, rows):

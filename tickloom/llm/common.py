@@ -18,20 +18,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only in local mode without it."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("tickloom.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("tickloom.shared.dir", found)
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df as a written table in the shared folder: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """df as a written table in the shared folder: cuts lineage, survives lost executors.
+
+    Tables in done, which materialize() wrote and only df reads, are removed; the driver's garbage collector is asked
+    to run, as it is what frees the shuffle files behind df.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickloom/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for table in done:
+        drop_table(table)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +53,18 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_names(*frames: DataFrame | list[str], names: tuple[str, ...]) -> tuple[str, ...]:
+    """names, each with as many underscores after it as it takes to clash with no column of frames (case ignored)."""
+    taken = {c.lower() for f in frames for c in (f if isinstance(f, list) else f.columns)}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def state(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
 
@@ -65,9 +86,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").where("lo != m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
         small = small.unionByName(least.select(F.col("m").alias("lo"), "hi"))
-        old, now = now, materialize(small.distinct())
+        now = materialize(small.distinct(), now)
         old_seen, seen = seen, state(now)
-        drop_table(old)
         if seen == old_seen:
             break
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

@@ -7,17 +7,28 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import WORD, materialize
+from tickloom.llm.common import WORD, drop_table, free_names, materialize
 from tickloom.llm.linking import linked
 
 #: Characters of a shingle, and the similarity in percent from which lines are one: one character edited inside a line
 #: of different shingles leaves it one from 49 characters.
 SHINGLE, PERCENT = 5, 80
 #: Bands of a signature, and values of a band. Lines at a similarity of 0.8 are missed with a probability of 2e-3, at
-#: 0.9 of 3e-6.
-BANDS, ROWS = 12, 4
-#: Bands that one pass over the shingles makes: with all 48 values in one, compiling the code takes gigabytes.
+#: 0.9 of 3e-7.
+BANDS, ROWS = 16, 5
+#: Bands that one pass over the shingles of a short line makes: with all values in one, compiling the code takes gigabytes.
 PASS_BANDS = 4
+#: Lines of LONG shingles or more have one hash for each shingle, of which each band has its own bin; lines of SHORT or
+#: less, and those that seem to have SPARSE different ones or less, have a hash for each band. Like lines differ in the
+#: number of different shingles by a quarter at most, so they meet in one way or both.
+LONG, SHORT, SPARSE = 96, 150, 180
+#: Up to so many lines (8 bytes each) whose texts are wanted are broadcast; beyond, they are joined by shuffle.
+BROADCAST_LINES = 1_000_000
+#: A sketch has the last PLANES bits of each of 64 values, the bits of one place together. Of two lines' 64 values so
+#: many may differ at most, else the lines are not compared in full: at a similarity of 0.8 more differ with a
+#: probability of 1e-5, at 0.5 some 30 do.
+PLANES, DIFFER = 4, 26
+SKETCH = [f"s{p}" for p in range(PLANES)]
 SEED = 0x2545F491
 
 
@@ -28,34 +39,102 @@ def _lines(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "d1", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(SEED), "line").alias("h2"))
 
 
-def _shingles(line: str) -> str:
-    """Array of hashes of the character shingles of a line in UTF-32; a shorter line is its one shingle."""
-    return f"transform(sequence(0, greatest(length({line}) div 4 - {SHINGLE}, 0)), i -> xxhash64(substring({line}, 4 * i + 1, {4 * SHINGLE})))"
+def _hashed(lines: DataFrame) -> DataFrame:
+    """(h1, x): a 64-bit hash of each character shingle of each line; a shorter line is its one shingle."""
+    # the encoding is a column before the explosion, else it would be made again for each shingle
+    rows = lines.select("h1", F.expr("encode(line, 'UTF-32')").alias("code"))
+    rows = rows.select("h1", "code", F.expr(f"explode(sequence(0, greatest(length(code) div 4 - {SHINGLE}, 0)))").alias("i"))
+    return rows.select("h1", F.expr(f"xxhash64(substring(code, 4 * i + 1, {4 * SHINGLE}))").alias("x"))
+
+
+def _turn(x: str, n: int):
+    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n)) if n else F.col(x)
+
+
+def _planes(values: list[tuple[str, int]]) -> list:
+    """The columns s0, s1, ...: of each (value, at) the last bits, each in a column of its own, at place at."""
+    bit = lambda value, at, p: F.shiftleft(F.shiftright(value, p).bitwiseAND(F.lit(1).cast("long")), at)
+    return [reduce(lambda a, b: a.bitwiseOR(b), [bit(v, at, p) for v, at in values]).alias(f"s{p}") for p in range(PLANES)]
+
 
+def _keys(kind: int, bands: list):
+    """Band keys; the last bit says which way they were made."""
+    return F.array(*[F.xxhash64(*x).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.lit(kind).cast("long")) for x in bands])
 
-def _bands(distinct: DataFrame) -> DataFrame:
-    """(h1, h2, key): the bands of each line's MinHash signature.
 
-    Each band has a hash of its own, seeded before mixing; its values are the least of that hash turned by 0, 16, 32
-    and 48 bits, so that each value orders the shingles by other bits. Shingles are aggregated where their line
-    already is: no shuffle.
+def _short_bands(lines: DataFrame) -> DataFrame:
+    """(h1, keys, *SKETCH): bands of lines (h1, line), each with a hash of its own, seeded before mixing; a row for each pass.
+
+    A band's values are the least of that hash turned by fifths of 64 bits, so that each orders the shingles by other
+    bits. Shingles are aggregated where their line already is: no shuffle.
     """
-    # the encoding is a column before the explosion, else it would be made again for each shingle
-    rows = distinct.select("h1", "h2", F.expr("encode(line, 'UTF-32')").alias("code"))
-    rows = rows.select("h1", "h2", "code", F.expr(f"sequence(0, greatest(length(code) div 4 - {SHINGLE}, 0))").alias("is"))
-    rows = rows.select("h1", "h2", "code", F.explode("is").alias("i"))
-    rows = rows.select("h1", "h2", F.expr(f"xxhash64(substring(code, 4 * i + 1, {4 * SHINGLE}))").alias("x"))
-    turn = lambda x, n: F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n)) if n else F.col(x)
+    rows = _hashed(lines)
 
     def some(bands: range) -> DataFrame:
         seeds = [(0x9E3779B97F4A7C15 * (b + 1)) % (1 << 64) - (1 << 63) for b in bands]
-        hashed = rows.select("h1", "h2", *[F.xxhash64(F.col("x").bitwiseXOR(F.lit(c))).alias(f"x{b}") for b, c in zip(bands, seeds)])
-        least = hashed.groupBy("h1", "h2").agg(*[F.min(turn(f"x{b}", 64 // ROWS * j)).alias(f"m{b}_{j}") for b in bands for j in range(ROWS)])
-        keys = [F.xxhash64(F.lit(b), *[f"m{b}_{j}" for j in range(ROWS)]) for b in bands]
-        return least.select("h1", "h2", F.explode(F.array(*keys)).alias("key"))
+        hashed = rows.select("h1", *[F.xxhash64(F.col("x").bitwiseXOR(F.lit(c))).alias(f"x{b}") for b, c in zip(bands, seeds, strict=True)])
+        least = hashed.groupBy("h1").agg(*[F.min(_turn(f"x{b}", 64 // ROWS * j)).alias(f"m{b}_{j}") for b in bands for j in range(ROWS)])
+        keys = _keys(0, [(F.lit(b), *[f"m{b}_{j}" for j in range(ROWS)]) for b in bands])
+        return least.select("h1", keys.alias("keys"), *_planes([(f"m{b}_{j}", 4 * b + j) for b in bands for j in range(4)]))
+
+    return reduce(DataFrame.unionByName, [some(range(b, b + PASS_BANDS)) for b in range(0, BANDS, PASS_BANDS)])
+
+
+def _long_bands(lines: DataFrame) -> DataFrame:
+    """(h1, keys, *SKETCH, sparse): bands of lines (h1, line) by one hash: its bits deal a shingle to a band, whose values
+    are the least of the hash turned.
+
+    The minima also tell how many different shingles there are, within a ninth: sparse if SPARSE or less.
+    """
+    rows = _hashed(lines).select("h1", F.pmod(F.shiftrightunsigned("x", 40), F.lit(BANDS)).cast("int").alias("bin"), *[_turn("x", 64 // ROWS * j).alias(f"x{j}") for j in range(ROWS)])
+    least = rows.groupBy("h1", "bin").agg(*[F.min(f"x{j}").alias(f"m{j}") for j in range(ROWS)])
+    share = reduce(lambda a, b: a + b, [F.col(f"m{j}") / F.lit(2.0**64) + F.lit(0.5) for j in range(ROWS)])
+    least = least.select("h1", "bin", _keys(1, [("bin", *[f"m{j}" for j in range(ROWS)])])[0].alias("key"), share.alias("share"), *_planes([(f"m{j}", j) for j in range(4)]))
+    sketch = [F.bit_or(F.expr(f"shiftleft(s{p}, 4 * bin)")).alias(f"s{p}") for p in range(PLANES)]
+    line = least.groupBy("h1").agg(F.sum("share").alias("share"), F.count(F.lit(1)).alias("bins"), *sketch, *[F.max(F.when(F.col("bin") == b, F.col("key"))).alias(f"k{b}") for b in range(BANDS)])
+    sparse = (F.col("bins") < BANDS) | (F.lit(BANDS * BANDS * ROWS) <= F.lit(SPARSE) * F.col("share"))
+    return line.select("h1", F.array_compact(F.array(*[f"k{b}" for b in range(BANDS)])).alias("keys"), *SKETCH, sparse.alias("sparse"))
+
+
+def _texts(lines: DataFrame) -> DataFrame:
+    """(h1, line), one row for each h1."""
+    return lines.groupBy("h1").agg(F.first("line").alias("line"))
+
+
+def _wanted(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(h1, line) of the ids (h1)."""
+    return _texts(lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids, "h1", "left_semi"))
+
 
-    parts = [some(range(b, b + PASS_BANDS)) for b in range(0, BANDS, PASS_BANDS)]
-    return reduce(DataFrame.unionByName, parts)
+def _like(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of lines whose sets of shingles have a Jaccard similarity of percent / 100 or more: lines are
+    joined, and shingles made where they are compared."""
+    ids = materialize(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct())
+    texts = materialize(_wanted(lines, ids), ids)
+    one, two = (texts.select(F.col("h1").alias(c), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
+    shingles = lambda c: F.expr(f"if(char_length({c}_line) < {SHINGLE}, array({c}_line), regexp_extract_all({c}_line, '(?s)(?=(.{{{SHINGLE}}}))', 1))")
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", shingles("a").alias("x"), shingles("b").alias("y"))
+    # a column of the written table: a filter would be evaluated with a copy of the shingles for each use
+    hit = 100 * F.size(F.array_intersect("x", "y")) >= percent * F.size(F.array_union("x", "y"))
+    return materialize(met.select("a", "b", hit.alias("hit")), texts).where("hit").select("a", "b")
+
+
+def line_bands(lines: DataFrame) -> DataFrame:
+    """(rep, keys, *SKETCH): the bands of the MinHash signatures of lines (h1, line), which may repeat."""
+    size = F.char_length("line") - F.lit(SHINGLE - 1)
+    long = materialize(_long_bands(_texts(lines.where(size >= LONG))))
+    sparse = materialize(long.where("sparse").select("h1"))
+    short = _short_bands(_texts(lines.where(size <= SHORT)))
+    if not sparse.isEmpty():
+        short = short.unionByName(_short_bands(_wanted(lines.where(size > SHORT), sparse)))
+    return materialize(short.unionByName(long.drop("sparse")), long, sparse).withColumnRenamed("h1", "rep")
+
+
+def sketched(met: DataFrame, bands: DataFrame) -> DataFrame:
+    """met (rep, key, ...) with the sketch of rep made the way that key was."""
+    kind = lambda key: F.col(key).bitwiseAND(F.lit(1).cast("long")).alias("kind")
+    sketches = bands.groupBy("rep", F.col("keys")[0].bitwiseAND(F.lit(1).cast("long")).alias("kind")).agg(*[F.bit_or(s).alias(s) for s in SKETCH])
+    return met.withColumn("kind", kind("key")).join(sketches, ["rep", "kind"]).drop("kind")
 
 
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,21 +146,17 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     all_lines = _lines(docs)
     occurrences = materialize(all_lines.drop("line"))
     # h1 names a line while links are sought; should two different lines have the same, they are only matched exactly
-    shared_name = occurrences.groupBy("h1").agg(F.min("h2").alias("a"), F.max("h2").alias("b")).where("a != b").select(F.col("h1").alias("rep"))
-    distinct = all_lines.groupBy("h1", "h2").agg(F.max("line").alias("line"))
-    band = _bands(distinct).select(F.col("h1").alias("rep"), "key")
-    shared_name = materialize(shared_name)
+    shared_name = materialize(occurrences.groupBy("h1").agg(F.min("h2").alias("a"), F.max("h2").alias("b")).where("a != b").select("h1"))
+    lines = all_lines.select("h1", "line")
     if not shared_name.isEmpty():
-        band = band.join(shared_name, "rep", "left_anti")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        met = all_lines.withColumnRenamed("h1", "rep").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.max("line").alias("line"))
-        met = met.select("rep", F.expr("encode(line, 'UTF-32')").alias("code"))
-        return met.select("rep", F.array_distinct(F.expr(_shingles("code"))).alias("items"))
-
-    found = linked(band, sets_of, PERCENT).withColumnRenamed("node", "h1")
+        lines = lines.join(F.broadcast(shared_name) if shared_name.count() <= BROADCAST_LINES else shared_name, "h1", "left_anti")
+    bands = line_bands(lines)
+    close = lambda x, y: F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), [x(s).bitwiseXOR(y(s)) for s in SKETCH])) <= DIFFER
+    found = linked(bands.select("rep", F.explode("keys").alias("key")), close, lambda pairs: _like(pairs, lines, PERCENT), attach=lambda met: sketched(met, bands))
+    found = found.withColumnRenamed("node", "h1")
     once = occurrences.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "no", "d1")).alias("at")).join(found, "h1", "left")
     once = materialize(once.where("n > 1 or component is not null").select("h1", "h2", "at", F.struct(F.coalesce("component", "h1").alias("c"), F.when(F.col("component").isNull(), F.col("h2")).alias("h2")).alias("component")))
+    drop_table(bands)
     keep = once.groupBy("component").agg(F.min("at").alias("keep"))
     return occurrences, once.join(keep, "component").select("h1", "h2", "keep")
 
@@ -90,20 +165,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text reduced to the lines kept, and n_lines (lines with a word), n_removed.
 
     One line of each component of like lines stays in the whole table: its first occurrence in order of (doc_id, line
-    number), doc_id null first. Lines without a word stay where they are. A null text stays null and has no lines;
+    number), doc_id null first. Columns of docs named n_lines or n_removed are replaced. Lines without a word stay where they are. A null text stays null and has no lines;
     rows alike in doc_id and text are one document and have the same result. Columns other than doc_id and text pass
     through. An empty table gives none.
     """
     occurrences, repeats = line_classes(docs.select("doc_id", "text"))
     out = occurrences.join(repeats, ["h1", "h2"])
     out = out.where(~F.struct("doc_id", "no", "d1").eqNullSafe(F.col("keep")))
-    gone = out.groupBy(F.col("d1").alias("_d1"), F.coalesce("doc_id", F.lit(-1)).alias("_d0")).agg(F.collect_set("no").alias("_gone"))
-    df = docs.withColumn("_d1", F.xxhash64("doc_id", "text")).withColumn("_d0", F.coalesce("doc_id", F.lit(-1)))
-    df = df.join(gone, ["_d1", "_d0"], "left")
+    d1, d0, gone, n_lines, n_removed = free_names(docs, ["n_lines", "n_removed"], names=("_d1", "_d0", "_gone", "_lines", "_removed"))
+    lost = out.groupBy(F.col("d1").alias(d1), F.coalesce("doc_id", F.lit(-1)).alias(d0)).agg(F.collect_set("no").alias(gone))
+    lost = materialize(lost, occurrences)
+    df = docs.withColumn(d1, F.xxhash64("doc_id", "text")).withColumn(d0, F.coalesce("doc_id", F.lit(-1)))
+    df = df.join(lost, [d1, d0], "left")
     lines = F.split(F.col("text"), "\n", -1)
-    df = df.withColumn("n_lines", F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(WORD))), F.lit(0)).cast("long"))
-    df = df.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-    df = df.withColumn("n_removed", F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long"))
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    df = df.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
-    return df.select(*docs.columns, "n_lines", "n_removed")
+    df = df.withColumn(n_lines, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, lambda x: x.rlike(WORD)))).cast("long"))
+    df = df.withColumn(n_removed, F.coalesce(F.when(F.col(gone).isNotNull(), F.size(gone)), F.lit(0)).cast("long"))
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
+    df = df.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return df.select(*kept, F.col(n_lines).alias("n_lines"), F.col(n_removed).alias("n_removed"))

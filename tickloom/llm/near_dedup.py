@@ -17,29 +17,39 @@ U = np.uint64
 BANDS, ROWS = 44, 7
 
 
+#: Elements whose permutations are held at once, and the most places of a signature.
+BLOCK, PLACES = 49_152, 1024
+
+
 def super_minhash(values: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
     """SuperMinHash signatures (rows x m) of sets of 64-bit hashes; set i is values[at[i]:at[i + 1]].
 
     In round j every element draws a fraction r and the next place of its own random permutation (Fisher-Yates) and
     offers the correlated rank j + r there; each place keeps the least offer. A set stops early, as soon as all its
-    places hold ranks of rounds that are over. Ranks are integers: j in the top byte, r below. Empty sets keep the
-    largest value everywhere.
+    places hold ranks of rounds that are over. Elements are taken in blocks, as what one offers depends on itself only.
+    Ranks are integers: j in the top 10 bits, r below. Empty sets keep the largest value everywhere.
     """
-    sets = len(at) - 1
-    sig = np.full(sets * m, np.iinfo(U).max, U)
-    size = np.diff(at)
-    owner = np.repeat(np.arange(sets), size)
-    x, order = values, None
+    if m > PLACES:
+        raise ValueError(f"a signature has {PLACES} places at most")
+    sig = np.full((len(at) - 1, m), np.iinfo(U).max, U)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    for lo in range(0, len(values), BLOCK):
+        own = owner[lo : lo + BLOCK]
+        _offers(values[lo : lo + BLOCK], own - own[0], sig[own[0] : own[-1] + 1], m)
+    return sig
+
+
+def _offers(x: np.ndarray, owner: np.ndarray, sig: np.ndarray, m: int) -> None:
+    """Lowers the signatures of some sets (rows of sig) by the offers of elements x; owner is the row of each."""
+    flat, order = sig.reshape(-1), None
     for j in range(m):
-        if not len(x):
-            break
         rank = K.mix(x + U((2 * j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         swap = j + (K.mix(rank ^ U(0x5851F42D4C957F2D)) % U(m - j)).astype(np.int64)
         if j == 0:
             place, first_swap = swap, swap
         else:
             if order is None:
-                order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(x), 1)).ravel()
+                order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), len(x))
                 row = np.arange(len(x)) * m
                 order[row + first_swap] = 0
                 order[row] = first_swap
@@ -47,16 +57,16 @@ def super_minhash(values: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
             place = order[row + swap].astype(np.int64)
             order[row + swap] = order[row + j]
             order[row + j] = place
-        np.minimum.at(sig, owner * m + place, (U(j) << U(56)) | (rank >> U(8)))
-        open_sets = sig.reshape(sets, m).max(axis=1) >= (U(j + 1) << U(56)) if j < 255 else np.zeros(sets, bool)
-        keep = open_sets[owner]
+        np.minimum.at(flat, owner * m + place, (U(j) << U(54)) | (rank >> U(10)))
+        keep = (sig.max(axis=1) >= U((j + 1) << 54 if j < PLACES - 1 else np.iinfo(U).max))[owner]
         if not keep.all():
             x, owner = x[keep], owner[keep]
+            if not len(x):
+                return
             if j == 0:
                 first_swap = first_swap[keep]
             else:
-                order = order.reshape(-1, m)[keep].ravel()
-    return sig.reshape(sets, m)
+                order = order.reshape(-1, m)[keep].reshape(-1)
 
 
 def _signed(shingle: int, bands: int, rows: int):
@@ -117,7 +127,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         sets = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, items array<long>")
         return sets.groupBy(F.col("doc_id").alias("rep")).agg(F.max("items").alias("items"))
 
-    found = linked(band.distinct().join(alone, "rep"), sets_of, percent)
+    close = lambda x, y: 100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))  # noqa: E731  no pair is more alike than its sizes
+    found = linked(band.distinct().join(alone, "rep"), close, sets_of=sets_of, percent=percent)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
