@@ -1,5 +1,6 @@
 """Text operators against brute force on small tables with nulls, ties, repeated rows, odd texts and extra columns."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -128,17 +129,40 @@ def test_repeats(docs, rows, by_word):
     assert Counter((r.doc_id, r.n_units, r.n_removed, r.kept_sha256) for r in got) == Counter((i, *want(t)) for i, t, *_ in rows)
 
 
-@pytest.mark.parametrize("index", [suffix_dedup.longest_elsewhere, substring_dedup.longest_elsewhere])
+@pytest.mark.parametrize("index", [suffix_dedup.named_runs, substring_dedup.named_runs])
 def test_index(index):
     rng = random.Random(3)
-    for _ in range(200):
-        parts = [[rng.randrange(3) for _ in range(rng.randint(0, 8))] for _ in range(rng.randint(0, 4))]
-        want = []
-        for i, p in enumerate(parts):
-            for s in range(len(p)):
-                want.append(max([n for n in range(1, len(p) - s + 1) if any((j, u) != (i, s) and q[u : u + n] == p[s : s + n] for j, q in enumerate(parts) for u in range(len(q)))], default=0))
-        flat = np.array([c for p in parts for c in p], np.int64)
-        assert index(flat, np.cumsum([len(p) for p in parts]).astype(np.int64)).tolist() == want
+    for _ in range(300):
+        parts = [[rng.randrange(3) for _ in range(rng.randint(0, 9))] for _ in range(rng.randint(0, 5))]
+        n = rng.randint(1, 4)
+        runs = [tuple(p[s : s + n]) if s + n <= len(p) else None for p in parts for s in range(len(p))]
+        got = index(np.array([c for p in parts for c in p], np.int64), np.cumsum([len(p) for p in parts]).astype(np.int64), n).tolist()
+        assert [x >= 0 for x in got] == [r is not None for r in runs]
+        pairs = {(x, r) for x, r in zip(got, runs, strict=True) if x >= 0}
+        assert len(pairs) == len({x for x, _ in pairs}) == len({r for _, r in pairs})
+
+
+def test_pieces_in_parts(monkeypatch):
+    """Texts taken in parts have the same windows, owned by the same grams at the same places."""
+    data = np.frombuffer(sentence(random.Random(3), 900).encode(), np.uint8)
+    first = np.array([0, 0, 1500, 1600, len(data)])
+    windows = lambda: {(r, s, a, g) for r, lo, hi, a, g, _ in zip(*(x.tolist() for x in repeats.pieces(suffix_dedup.BYTES, K._BYTE[data], first)), strict=True) for s in range(lo, hi)}
+    whole = windows()
+    monkeypatch.setattr(repeats, "PART", 301)
+    assert windows() == whole and len(whole) == sum(max(0, b - a - 199) for a, b in zip(first, first[1:], strict=False))
+
+
+@pytest.mark.parametrize("kind", [suffix_dedup.BYTES, substring_dedup.WORDS])
+def test_the_index_decides(spark, rows, kind):
+    """With an index that gives every run one name the result is another."""
+    blind = dataclasses.replace(kind, index=lambda symbols, ends, n: np.zeros(len(symbols), np.int64))
+    rng = random.Random(21)
+    # equal around the runs, different inside them: one unit is changed in the middle
+    base = [sentence(rng, 60) for _ in range(6)]
+    edited = [" ".join(w if i != 30 else w[::-1] + "x" for i, w in enumerate(t.split(" "))) for t in base]
+    docs = spark.createDataFrame(list(enumerate([*base, *edited, base[0]])), "doc_id long, text string")
+    right, wrong = (sorted((r.doc_id, r.n_removed) for r in repeats.remove_repeats(docs, k).collect()) for k in (kind, blind))
+    assert right != wrong
 
 
 def test_suffix_array():

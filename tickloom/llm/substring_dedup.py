@@ -53,10 +53,11 @@ class Automaton:
         for v in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
             self.count[self.link[v]] += self.count[v]
 
-    def statistics(self, sequence: list[int], times: int = 2) -> list[int]:
-        """For each place the length of the longest string ending there that ends at `times` places or more."""
+    def statistics(self, sequence: list[int], times: int = 2, most: int | None = None) -> tuple[list[int], list[int]]:
+        """Matching statistics: for each place the length of the longest string ending there that ends at `times` places
+        or more (at most `most`), and its state."""
         moves, link, length, count = self.next, self.link, self.length, self.count
-        out, v, n = [], 0, 0
+        lengths, states, v, n = [], [], 0, 0
         for c in sequence:
             q = moves[v].get(c)
             while v and (q is None or count[q] < times):
@@ -65,16 +66,22 @@ class Automaton:
                 q = moves[v].get(c)
             if q is not None and count[q] >= times:
                 v, n = q, n + 1
+                if most is not None and n > most:  # the last `most` symbols may belong to a shorter state
+                    n = most
+                    while length[link[v]] >= n:
+                        v = link[v]
             else:
                 n = 0
-            out.append(n)
-        return out
+            lengths.append(n)
+            states.append(v)
+        return lengths, states
 
 
-def longest_elsewhere(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each symbol the length of the longest run from it, inside its piece, that starts elsewhere too.
+def named_runs(symbols: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """For each symbol a name of the run of n symbols from it, equal for equal runs and no others; -1 where fewer are left.
 
-    The pieces, reversed, are the automaton's reference; each is streamed through it again for matching statistics.
+    The pieces, reversed, are the automaton's reference; each is streamed through it again for matching statistics. A
+    state has one string of each length at most, so the state that n symbols lead to names them.
     """
     values, begin, pieces = symbols.tolist(), 0, []
     for end in ends.tolist():
@@ -84,11 +91,15 @@ def longest_elsewhere(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     for x in pieces:
         automaton.add(x)
     automaton.finish()
-    return np.array([n for x in pieces for n in automaton.statistics(x)[::-1]], np.int64)
+    out: list[int] = []
+    for x in pieces:
+        lengths, states = automaton.statistics(x, 1, n)
+        out.extend(v if m >= n else -1 for m, v in zip(reversed(lengths), reversed(states), strict=True))
+    return np.array(out, np.int64)
 
 
 #: 35 words, screened by grams of 8 words, indexed in blocks of 5.
-WORDS = Kind(by_word=True, window=35, gram=8, block=5, index=longest_elsewhere)
+WORDS = Kind(by_word=True, window=35, gram=8, block=5, index=named_runs)
 
 
 def remove_repeated_words(docs: DataFrame, kind: Kind = WORDS) -> DataFrame:

@@ -87,13 +87,15 @@ def suffix_array(text: list[int]) -> list[int]:
     return out[1:]
 
 
-def longest_elsewhere(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each symbol the length of the longest run from it, inside its piece, that starts elsewhere too.
+def named_runs(symbols: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """For each symbol a name of the run of n symbols from it, equal for equal runs and no others; -1 where fewer are left.
 
-    Suffix array of all pieces, each closed by a common symbol, and the common prefixes of neighbours (Kasai).
+    Suffix array of all pieces, each closed by a common symbol, and the common prefixes of neighbours (Kasai): suffixes
+    that share n symbols are neighbours, and where neighbours share fewer a new name begins.
     """
+    names = np.full(len(symbols), -1, np.int64)
     if not len(symbols):
-        return np.zeros(0, np.int64)
+        return names
     text, starts, left = [], [], []
     begin = 0
     values = (symbols + 1).tolist()
@@ -104,28 +106,31 @@ def longest_elsewhere(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         text.append(0)
         begin = end
     order = suffix_array(text)
-    n = len(text)
-    rank = [0] * n
+    size = len(text)
+    rank = [0] * size
     for k, i in enumerate(order):
         rank[i] = k
-    common = [0] * (n + 1)  # of order[k] and order[k - 1]
+    common = [0] * (size + 1)  # of order[k] and order[k - 1]
     h = 0
-    for i in range(n):
+    for i in range(size):
         k = rank[i]
         if not k:
             h = 0
             continue
         j = order[k - 1]
-        while i + h < n and j + h < n and text[i + h] == text[j + h]:
+        while i + h < size and j + h < size and text[i + h] == text[j + h]:
             h += 1
         common[k] = h
         if h:
             h -= 1
-    return np.array([min(r, max(common[rank[i]], common[rank[i] + 1])) for i, r in zip(starts, left, strict=True)], np.int64)
+    name = np.cumsum(np.array(common[:-1]) < n)
+    whole = np.array(left) >= n
+    names[whole] = name[np.array(rank)[starts][whole]]
+    return names
 
 
 #: 200 bytes, screened by grams of 32 bytes, indexed in blocks of 32.
-BYTES = Kind(by_word=False, window=200, gram=32, block=32, index=longest_elsewhere)
+BYTES = Kind(by_word=False, window=200, gram=32, block=32, index=named_runs)
 
 
 def remove_repeated_bytes(docs: DataFrame, kind: Kind = BYTES) -> DataFrame:
