@@ -23,6 +23,8 @@ SYMBOLS, TAIL = 64, 500_000
 HELD = 1_000_000
 #: Distinct n-grams looked up by join that are broadcast to the documents; beyond, they are joined by shuffle.
 BROADCAST_GRAMS = 1_000_000
+#: Trusted documents whose ids (8 bytes each) are broadcast to find their texts; beyond, they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: Documents are dropped whose perplexity lies outside these quantiles of the trusted documents of their language. Texts
 #: are dealt into FOLDS by hash, and each is scored by the model of the trusted texts of the other folds.
 LOW, HIGH, FOLDS = 0.01, 0.99, 2
@@ -274,7 +276,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
     docs = docs.withColumn("fold", F.coalesce(F.pmod(F.xxhash64("text"), F.lit(FOLDS)), F.lit(0)).cast("int"))
-    trusted = docs.join(good, "doc_id", "left_semi").where("text != ''")
+    # ids go to the texts; each text is written once, and only where it is trusted
+    good = materialize(good)
+    trusted = docs.join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, "doc_id", "left_semi").where("text != ''").select("fold", "text")
+    trusted = materialize(trusted)
     if trusted.select("fold").distinct().count() == FOLDS:
         parts = [scores(docs.where(F.col("fold") == i), *train(trusted.where(F.col("fold") != i))) for i in range(FOLDS)]
         scored = reduce(DataFrame.unionByName, parts)
