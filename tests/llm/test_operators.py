@@ -428,6 +428,16 @@ def test_warc(spark, tmp_path):
     replica = warc.to_records(pages, 2000).withColumn("record", F.when(F.col("page_id") == 7, F.lit("bad")).otherwise(F.col("record")))
     got = warc.fixity(pages, replica, 2000).collect()
     assert len(got) == 81 and {r.page_id for r in got if r.status == "corrupt"} == {7} and {r.status for r in got} == {"ok", "corrupt"}
+    one = spark.createDataFrame([(i, f"http://y/{i}", "<p>" * 9) for i in range(100)], "page_id long, url string, html string")
+    whole = warc.to_records(one)
+    status = lambda ours, replica: Counter((r.page_id, r.status) for r in warc.fixity(ours, replica).collect() if r.status != "ok")
+    assert status(one, whole) == {}
+    assert status(one, whole.where("page_id != 40")) == {(40, "extra"): 1}
+    assert status(one.where("page_id != 99"), whole) == {(99, "missing"): 1}
+    late = warc.to_records(one.where("page_id != 40"))  # later records stand at other offsets
+    assert status(one, late) == {(40, "extra"): 1} | {(i, "shifted"): 1 for i in range(41, 100)}
+    assert status(one.where("page_id != 40"), whole) == {(40, "missing"): 1} | {(i, "shifted"): 1 for i in range(41, 100)}
+    assert status(one, whole.limit(0)) == {(i, "extra"): 1 for i in range(100)}
     with pytest.raises(ValueError):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort"))
 

@@ -124,11 +124,16 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that pass, all columns unchanged."""
-    if "lang" not in docs.columns:
-        docs = docs.withColumn("lang", F.lit(None).cast("string"))
-    scored = signals(docs)
-    hold = materialize(signals(docs.select("doc_id", "text", "lang").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")).drop("text"))
-    cutoffs = fit_cutoffs(hold, labels)
+    """The rows of docs that pass, all columns unchanged, whatever their names.
+
+    Null texts have no words and fail; without a column lang, and where it is null, languages are one; rows alike pass or
+    fail alike; an empty table gives none.
+    """
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    row = docs.select("text", lang.alias("lang"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"))
+    good = labels.select("doc_id").distinct()
+    held = docs.select("doc_id", "text", lang.alias("lang")).join(good, "doc_id", "left_semi")
+    cutoffs = fit_cutoffs(materialize(signals(held).drop("text")), labels)
     # a filter would be pushed below the signals, with a copy of their expressions for each use; an explosion isn't
-    return scored.withColumn("_once", F.explode(F.when(verdict(cutoffs), F.array(F.lit(1))))).select(*docs.columns)
+    out = signals(row).select("q_row", F.explode(F.when(verdict(cutoffs), F.array(F.lit(1)))).alias("q_once"))
+    return out.select("q_row.*")

@@ -40,10 +40,14 @@ def op3_mixing(spark, sf_dir):
 
 
 def op8_warc_fixity(spark, sf_dir):
-    """All pages against a replica in which the last byte of each record of a page_id divisible by 97 has rotted."""
+    """All pages against a replica: the last byte of each record of a page_id divisible by 97 has rotted, records of 3
+    modulo 89 are lost, and those of 7 modulo 83 stand there a second time, one byte on, as page -1 - page_id."""
     pages = read(spark, sf_dir, "pages")
+    records = to_records(pages)
     rotten = F.when(F.col("page_id") % 97 == 0, F.concat(F.expr("left(record, length(record) - 1)"), F.lit("#"))).otherwise(F.col("record"))
-    return fixity(pages, to_records(pages).withColumn("record", rotten))
+    more = records.where("page_id % 83 = 7").select("file", (F.col("offset") + 1).alias("offset"), "length", (-1 - F.col("page_id")).alias("page_id"), "record")
+    kept = records.where("coalesce(page_id % 89 != 3, true)").withColumn("record", rotten)
+    return fixity(pages, kept.unionByName(more))
 
 
 def op9_substring_dedup(spark, sf_dir):
@@ -101,11 +105,13 @@ WITH r AS (
     || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
   FROM pages
 ), o AS (
-  SELECT *, strlen(record) AS length, coalesce(sum(strlen(record)) OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST, html NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  SELECT *, strlen(record) AS length, coalesce(sum(strlen(record)) OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
   FROM r
 )
 SELECT page_id, 0::BIGINT AS file, "offset", length::BIGINT AS length, sha256("offset" || ':' || length || ':' || sha256(record)) AS digest,
-  CASE WHEN page_id % 97 = 0 THEN 'corrupt' ELSE 'ok' END AS status
+  CASE WHEN page_id % 89 = 3 THEN 'extra' WHEN page_id % 97 = 0 THEN 'corrupt' ELSE 'ok' END AS status
 FROM o
+UNION ALL
+SELECT -1 - page_id, 0, "offset" + 1, NULL, NULL, 'missing' FROM o WHERE page_id % 83 = 7
 """,
 }

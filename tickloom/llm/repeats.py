@@ -318,13 +318,12 @@ def remove_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     found = docs.select("text", "k1", "k2").mapInArrow(_anchors(kind), "gram long, piece long, k1 long, k2 long, w0 int, w1 int, anchor int")
     found = materialize(found)
     often = materialize(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
-    few = often.count() <= 500_000
-    met = materialize(found.join(F.broadcast(often) if few else often, "gram", "left_semi"), found, often)
+    met = materialize(found.join(often.hint("shuffle_hash"), "gram", "left_semi"), found, often)  # the same way at every size
     # equal pieces are counted; one of their places stands for them
     one = met.groupBy("gram", "piece").agg((F.count(F.lit(1)) > 1).alias("twice"), *[F.first(c).alias(c) for c in ("k1", "k2", "w0", "w1", "anchor")])
     wanted = materialize(one.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "piece", "w0", "w1", "anchor", "twice")).alias("wanted")))
     keys = wanted.select("k1", "k2")
-    few = wanted.count() <= 1_000_000
+    few = wanted.count() <= 1_000_000  # keys of 16 bytes
     texts = docs.join(F.broadcast(keys) if few else keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("text").alias("text"))
     content = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_content(kind), "gram long, piece long, lead int, twice boolean, content binary")
     repeated = content.repartition("gram").sortWithinPartitions("gram").mapInArrow(_decided(kind), "gram long, piece long, lo int, hi int")
