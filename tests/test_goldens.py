@@ -246,3 +246,68 @@ def test_result_access(spark):
     assert n.slice(1).count() == 2 and n.tail(1).first().v == 40 and n.last_timestamp().first().ts == 4
     with pytest.raises(TypeError):
         n.require({"int"})
+
+
+def test_shrinkage_intensity():
+    """alpha against the published formula, written out pair by pair, with missing ticks."""
+    rng = np.random.default_rng(3)
+    for t in (20, 60, 250):
+        y = rng.normal(size=(t, 5)) @ rng.normal(size=(5, 5)) * 0.01
+        y[rng.random(y.shape) < 0.05] = np.nan
+        s = predictors.sample_covariance(y)
+        off = [(i, j) for i in range(5) for j in range(5) if i != j]
+        goal = np.full((5, 5), np.mean([s[p] for p in off]))
+        np.fill_diagonal(goal, np.diag(s).mean())
+        z = y - np.nanmean(y, axis=0)
+        var = 0.0
+        for i, j in off:
+            w = z[:, i] * z[:, j]
+            w = w[np.isfinite(w)]
+            var += len(w) / (len(w) - 1) ** 3 * ((w - w.mean()) ** 2).sum()
+        alpha = min(1.0, var / sum((s[p] - goal[p]) ** 2 for p in off))
+        assert alpha > 0.005
+        np.testing.assert_allclose(predictors.shrinkage(y), alpha * goal + (1 - alpha) * s, rtol=1e-9)
+
+
+def test_hausdorff_linkage():
+    """Two pairs merge first; they are as like as the smaller of min-max and max-min over the original correlations."""
+    c = np.array([[1.0, 0.8, 0.5, 0.2], [0.8, 1.0, 0.3, 0.4], [0.5, 0.3, 1.0, 0.6], [0.2, 0.4, 0.6, 1.0]])
+    y = np.random.default_rng(1).normal(size=(4000, 4))
+    y = (y - y.mean(axis=0)) @ np.linalg.inv(np.linalg.cholesky(np.cov(y.T))).T @ np.linalg.cholesky(c).T
+    got, _ = predictors.correlation_from_covariance(predictors.hierarchical(y, "hausdorff"))
+    want = np.array([[1, 0.8, 0.3, 0.3], [0.8, 1, 0.3, 0.3], [0.3, 0.3, 1, 0.6], [0.3, 0.3, 0.6, 1]])
+    np.testing.assert_allclose(got, want, atol=1e-9)
+
+
+PRICE = "ts long, entity string, open double, close double, volume double, adjust double"
+WEIGHT = "strategy string, ts long, entity string, w double"
+
+
+def days(spark, prices, weights):
+    return traders.market_rows(spark.createDataFrame(prices, PRICE), spark.createDataFrame([("s", *w) for w in weights], WEIGHT))
+
+
+def test_traders_by_hand(spark):
+    """Zero volume trades; a suspended stock is sold at its last close, with a fee, before targets are valued; a buy may
+    go beyond the cash; differences are rounded to lots, halves to even."""
+    nan = float("nan")
+    prices = [(1, "a", 10.0, 10.0, 0.0, 1.0), (1, "b", 20.0, 20.0, nan, 1.0), (2, "a", nan, nan, 0.0, 1.0), (2, "b", 25.0, 24.0, 1.0, 1.0)]
+    rows = days(spark, prices, [(1, "a", 0.5), (1, "b", 0.5), (2, "a", 0.5), (2, "b", 0.5)])
+    got = [(r.holdings, r.cash) for r in traders.benchmark(rows, 1000.0).orderBy("ts").collect()]
+    # day 2: a goes for 500; value = 500 + 25 * 24 = 1100; b to 550 / 25 = 22 shares
+    assert got == [(1000.0, 0.0), (22 * 24.0, 500.0 + 3 * 25.0)]
+    got = [(r.holdings, r.cash) for r in traders.simple_trader(rows, 1000.0, lot_size=10, fee_base=2.0).orderBy("ts").collect()]
+    # day 1: a 5 lots, b 2.5 lots, to even: 2; day 2: a goes for 500 - 2, value = 596 - 500 + 598 + 480 - 500 = ...
+    cash = 1000 - 500 - 2 - 400 - 2
+    assert got[0] == (900.0, cash)
+    cash += 500 - 2
+    lots = round((0.5 * (cash + 20 * 24) / 25 - 20) / 10)
+    assert lots == 0 and got[1] == (480.0, cash)
+    rows = days(spark, [(1, "a", 10.0, 10.0, 1.0, 1.0)], [(1, "a", 1.06)])
+    assert [(r.holdings, r.cash) for r in traders.simple_trader(rows, 1000.0, lot_size=10, fee_base=5.0).collect()] == [(1100.0, -105.0)]
+
+
+def test_random_trader_draws_tradable_names(spark):
+    rows = days(spark, [(1, "a", 10.0, 10.0, 1.0, 1.0), (1, "b", float("nan"), 20.0, 1.0, 1.0), (1, "c", 0.0, 5.0, 1.0, 1.0)], [(1, "a", 0.2), (1, "b", 0.5), (1, "c", 0.3)])
+    (r,) = traders.random_trader(rows, 1000.0, 2, seed=1, lot_size=1).collect()
+    assert (r.holdings, r.cash) == (100.0, 900.0)  # 0.2 / 2 of 1000 in the only name with a price

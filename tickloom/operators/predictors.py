@@ -69,7 +69,11 @@ def single_index(y: np.ndarray) -> np.ndarray:
 
 
 def shrinkage(y: np.ndarray, target: str = "common_covariance") -> np.ndarray:
-    """alpha * target + (1 - alpha) * sample, alpha by Schaefer and Strimmer, clipped to [0, 1]."""
+    """alpha * target + (1 - alpha) * sample, alpha by Schaefer and Strimmer, clipped to [0, 1].
+
+    alpha is the summed variance of the covariances over their summed squared distance from the target, both off the
+    diagonal; pairs with fewer than two common ticks have no variance, and at no distance alpha is 1.
+    """
     s = sample_covariance(y)
     n = len(s)
     if n < 2:
@@ -87,13 +91,15 @@ def shrinkage(y: np.ndarray, target: str = "common_covariance") -> np.ndarray:
     else:
         raise ValueError(f"no shrinkage target {target}")
     ok = np.isfinite(y)
+    if ok.any(axis=1).sum() < 2:
+        return goal
     d = np.where(ok, y - fit_mean(y, y), 0.0)
-    m = np.maximum(ok.astype(float).T @ ok, 2.0)
-    first = d.T @ d / m
-    spread = (d**2).T @ d**2 / m - first**2
-    noise = m / (m - 1) ** 2 * np.maximum(spread, 0) / m * m / (m - 1)
-    gap = ((goal - s) ** 2).sum()
-    alpha = float(np.clip(noise.sum() / gap, 0.0, 1.0)) if gap > 0 else 1.0
+    m = ok.astype(float).T @ ok
+    products = d.T @ d
+    spread = (d**2).T @ d**2 - products**2 / np.maximum(m, 1.0)  # summed over the ticks that both have
+    noise = np.where(m >= 2, m / np.maximum(m - 1, 1.0) ** 3 * spread, 0.0)
+    gap = ((s - goal) ** 2)[off].sum()
+    alpha = float(np.clip(noise[off].sum() / gap, 0.0, 1.0)) if gap >= 1e-30 else 1.0
     return alpha * goal + (1 - alpha) * s
 
 
@@ -140,7 +146,7 @@ def hierarchical(y: np.ndarray, linkage: str) -> np.ndarray:
                 v = (sim[a, k] + sim[b, k]) / 2
             elif linkage == "hausdorff":
                 block = c[np.ix_(members[a], members[k])]
-                v = min(block.max(axis=1).min(), block.max(axis=0).min())
+                v = min(block.max(axis=1).min(), block.min(axis=1).max())
             else:
                 raise ValueError(f"no linkage {linkage}")
             sim[a, k] = sim[k, a] = v

@@ -37,73 +37,82 @@ class Book:
     def mark(self, day: dict[str, tuple], use_adjusts: bool) -> float:
         """Scales shares by the change of adjust factors, carries closes forward, returns the value of the holdings."""
         for i, (_, close, _, adjust) in day.items():
-            if use_adjusts and np.isfinite(adjust):
-                if i in self.shares and self.adjust.get(i, 0.0) > 0:
-                    self.shares[i] *= adjust / self.adjust[i]
+            if use_adjusts and np.isfinite(adjust) and adjust > 0:
+                if i in self.shares:
+                    self.shares[i] *= adjust / self.adjust.get(i, 1.0)
                 self.adjust[i] = adjust
             if np.isfinite(close):
                 self.close[i] = close
+        return self.value()
+
+    def value(self) -> float:
+        """The holdings at their last closes; what never had one counts nothing."""
         return float(sum(n * self.close.get(i, 0.0) for i, n in self.shares.items()))
 
 
 def _tradable(row: tuple) -> bool:
-    return bool(np.isfinite(row[0]) and row[0] > 0 and np.isfinite(row[2]) and row[2] > 0)
+    """Whether a stock has a price to trade at: a finite, positive open. Volume does not matter."""
+    return bool(np.isfinite(row[0]) and row[0] > 0)
+
+
+def _close_out(book: Book, day: dict[str, tuple], fee: Callable[[float], float]) -> None:
+    """Sells what has no price today at its last close; what never had a close stays."""
+    for i in [i for i in book.shares if (i not in day or not _tradable(day[i])) and i in book.close]:
+        amount = book.shares.pop(i) * book.close[i]
+        book.cash += amount - fee(amount)
 
 
-def benchmark_trade(book: Book, day: dict[str, tuple], weights: dict[str, float], value: float) -> None:
+def benchmark_trade(book: Book, day: dict[str, tuple], weights: dict[str, float]) -> None:
     """Untradable holdings go at their last close; the rest is traded to weight * value / open, without fees or lots."""
-    for i in [i for i in book.shares if i not in day or not _tradable(day[i])]:
-        book.cash += book.shares.pop(i) * book.close.get(i, 0.0)
+    _close_out(book, day, lambda amount: 0.0)
+    value = book.value() + book.cash
     targets = {i: w * value / day[i][0] for i, w in weights.items() if w and i in day and _tradable(day[i])}
     for i in set(book.shares) | set(targets):
+        if i not in day or not _tradable(day[i]):
+            continue
         change = targets.get(i, 0.0) - book.shares.get(i, 0.0)
         book.cash -= change * day[i][0]
         book.shares[i] = targets.get(i, 0.0)
     book.shares = {i: n for i, n in book.shares.items() if n}
 
 
-def lot_trade(lots: Callable[[dict[str, float], np.random.Generator], dict[str, float]], lot_size: int, fee_base: float, fee_rate: float):
-    """Trades whole lots towards the weights that `lots` picks, paying max(fee_base, |value| * fee_rate) a trade.
+def lot_trade(lots: Callable[[dict[str, float], np.random.Generator], dict[str, float] | None], lot_size: float, fee_base: float, fee_rate: float):
+    """Trades whole lots towards the weights that `lots` picks among tradable stocks, paying max(fee_base, |value| * fee_rate) a trade.
 
-    Sells come before buys; forced sales pay fees too; holdings below a lot are sold; a buy is cut to the cash left.
+    Forced sales come first and pay fees too; targets follow from what is left. The difference to a target is rounded
+    to whole lots, halves to even, and holdings below a lot are sold. Cash may become negative. Where lots gives None
+    nothing is traded but remnants below a lot.
     """
     fee = lambda amount: max(fee_base, abs(amount) * fee_rate)
 
-    def trade(book: Book, day: dict[str, tuple], weights: dict[str, float], value: float, rng: np.random.Generator) -> None:
-        for i in [i for i in book.shares if i not in day or not _tradable(day[i])]:
-            amount = book.shares.pop(i) * book.close.get(i, 0.0)
-            book.cash += amount - fee(amount)
-        picked = lots(weights, rng)
-        targets = {i: np.floor(w * value / day[i][0] / lot_size) * lot_size for i, w in picked.items() if w > 0 and i in day and _tradable(day[i])}
-        changes = {i: targets.get(i, 0.0) - book.shares.get(i, 0.0) for i in sorted(set(book.shares) | set(targets))}
-        for i, change in sorted(changes.items(), key=lambda x: x[1] >= 0):
-            left = book.shares.get(i, 0.0)
-            if targets.get(i, 0.0) > 0:
-                change = np.trunc(change / lot_size) * lot_size
-            if left + change < lot_size:
-                change = -left
-            price = day[i][0]
-            while change > 0 and change * price + fee(change * price) > book.cash:
-                change -= lot_size
-            if change == 0 or (change < 0 and left == 0):
-                continue
-            book.cash -= change * price + fee(change * price)
-            book.shares[i] = left + change
-        book.shares = {i: n for i, n in book.shares.items() if n > 0}
+    def trade(book: Book, day: dict[str, tuple], weights: dict[str, float], rng: np.random.Generator) -> None:
+        _close_out(book, day, fee)
+        value = book.value() + book.cash
+        can = {i for i, row in day.items() if _tradable(row)}
+        picked = lots({i: w for i, w in weights.items() if i in can}, rng)
+        for i in sorted(can & (set(book.shares) | set(picked or ()))):
+            price, held = day[i][0], book.shares.get(i, 0.0)
+            change = 0.0 if picked is None else float(np.round((picked.get(i, 0.0) * value / price - held) / lot_size)) * lot_size
+            if abs(held + change) < lot_size:
+                change = -held
+            if change:
+                book.cash -= change * price + fee(change * price)
+                book.shares[i] = held + change
+        book.shares = {i: n for i, n in book.shares.items() if n}
 
     return trade
 
 
 def simulate(rows: pd.DataFrame, trade, initial_cash: float, use_adjusts: bool = True, seed: int | None = None) -> Iterator[tuple]:
-    """(ts, holdings, cash) after each row, in order of ts. Targets use today's close and trade at today's open."""
+    """(ts, holdings, cash) after each row, in order of ts. Targets use today's close, after forced sales, and trade at today's open."""
     book, rng = Book(initial_cash), np.random.default_rng(seed)
     for r in rows.sort_values("ts").itertuples(index=False):
         number = lambda x: np.nan if x is None else float(x)
         day = {i: tuple(map(number, x)) for i, *x in zip(r.entity, r.open, r.close, r.volume, r.adjust, strict=True)}
-        value = book.mark(day, use_adjusts) + book.cash
+        book.mark(day, use_adjusts)
         if r.w is not None:
             weights = {i: w for i, w in (r.w.items() if isinstance(r.w, dict) else r.w) if w is not None and np.isfinite(w)}
-            args = (book, day, weights, value) if trade is benchmark_trade else (book, day, weights, value, rng)
+            args = (book, day, weights) if trade is benchmark_trade else (book, day, weights, rng)
             trade(*args)
         yield r.ts, float(sum(n * book.close.get(i, 0.0) for i, n in book.shares.items())), book.cash
 
@@ -131,12 +140,15 @@ def simple_trader(rows: DataFrame, initial_cash: float, lots=None, *, lot_size:
 
 
 def random_trader(rows: DataFrame, initial_cash: float, portfolio_size: int = 20, seed: int = 0, **kwargs) -> DataFrame:
-    """Draws portfolio_size stocks without replacement by weight, each aimed at (sum of weights) / portfolio_size."""
+    """Draws portfolio_size of the tradable stocks without replacement by weight, each aimed at (sum of tradable weights) / portfolio_size.
+
+    Without a positive weight among them nothing is traded.
+    """
 
-    def pick(weights: dict[str, float], rng: np.random.Generator) -> dict[str, float]:
+    def pick(weights: dict[str, float], rng: np.random.Generator) -> dict[str, float] | None:
         names = sorted(i for i, w in weights.items() if w > 0)
         if not names:
-            return {}
+            return None
         p = np.array([weights[i] for i in names])
         n = min(portfolio_size, len(names))
         chosen = rng.choice(len(names), n, replace=False, p=p / p.sum())
