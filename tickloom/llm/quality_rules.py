@@ -27,6 +27,8 @@ UNITS = {
 }
 #: Cutoffs on the score, from the most lenient to the strictest that may be chosen.
 LEVELS = [6.0, 5.0, 4.0, 3.5, 3.0, 2.5, 2.0, 1.75, 1.5, 1.25, 1.0]
+#: Labelled documents whose ids (8 bytes each) are broadcast to find their texts; beyond, they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: At most this share of the good documents of a stratum may be rejected, but for a probability of DELTA over all strata.
 ALPHA, DELTA = 0.02, 0.05
 
@@ -131,7 +133,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     row = docs.select("text", lang.alias("lang"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("q_row"))
-    good = labels.select("doc_id").distinct()
+    good = materialize(labels.select("doc_id").distinct())
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     held = docs.select("doc_id", "text", lang.alias("lang")).join(good, "doc_id", "left_semi")
     cutoffs = fit_cutoffs(materialize(signals(held).drop("text")), labels)
     # a filter would be pushed below the signals, with a copy of their expressions for each use; an explosion isn't
