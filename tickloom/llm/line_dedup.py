@@ -1,23 +1,25 @@
-"""Line dedup: fuzzy lines by MinHash over character shingles. DataFrame functions only."""
+"""Line dedup: fuzzy lines by MinHash over character shingles; signatures and set comparisons in NumPy over Arrow."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm import kernels as K
 from tickloom.llm.common import WORD, drop_table, free_names, materialize
 from tickloom.llm.linking import linked
 
+U = np.uint64
 #: Characters of a shingle, and the similarity in percent from which lines are one: one character edited inside a line
 #: of different shingles leaves it one from 49 characters.
 SHINGLE, PERCENT = 5, 80
 #: Bands of a signature, and values of a band. Lines at a similarity of 0.8 are missed with a probability of 2e-3, at
 #: 0.9 of 3e-7.
 BANDS, ROWS = 16, 5
-#: Bands that one pass over the shingles of a short line makes: with all values in one, compiling the code takes gigabytes.
-PASS_BANDS = 4
 #: Lines of LONG shingles or more have one hash for each shingle, of which each band has its own bin; lines of SHORT or
 #: less, and those that seem to have SPARSE different ones or less, have a hash for each band. Like lines differ in the
 #: number of different shingles by a quarter at most, so they meet in one way or both.
@@ -30,6 +32,12 @@ BROADCAST_LINES = 1_000_000
 PLANES, DIFFER = 4, 26
 SKETCH = [f"s{p}" for p in range(PLANES)]
 SEED = 0x2545F491
+#: Characters whose shingles are hashed at once, and characters of the lines taken together.
+BLOCK, TOGETHER = 1 << 16, 1 << 20
+#: Names of lines that a task remembers, so that a line it meets again isn't signed again.
+REMEMBERED = 1_000_000
+#: Fills lines shorter than a shingle; no line has it.
+FILL = "\n"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -39,61 +47,118 @@ def _lines(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "d1", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(SEED), "line").alias("h2"))
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    """(h1, x): a 64-bit hash of each character shingle of each line; a shorter line is its one shingle."""
-    # the encoding is a column before the explosion, else it would be made again for each shingle
-    rows = lines.select("h1", F.expr("encode(line, 'UTF-32')").alias("code"))
-    rows = rows.select("h1", "code", F.expr(f"explode(sequence(0, greatest(length(code) div 4 - {SHINGLE}, 0)))").alias("i"))
-    return rows.select("h1", F.expr(f"xxhash64(substring(code, 4 * i + 1, {4 * SHINGLE}))").alias("x"))
-
-
-def _turn(x: str, n: int):
-    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n)) if n else F.col(x)
-
-
-def _planes(values: list[tuple[str, int]]) -> list:
-    """The columns s0, s1, ...: of each (value, at) the last bits, each in a column of its own, at place at."""
-    bit = lambda value, at, p: F.shiftleft(F.shiftright(value, p).bitwiseAND(F.lit(1).cast("long")), at)
-    return [reduce(lambda a, b: a.bitwiseOR(b), [bit(v, at, p) for v, at in values]).alias(f"s{p}") for p in range(PLANES)]
-
-
-def _keys(kind: int, bands: list):
-    """Band keys; the last bit says which way they were made."""
-    return F.array(*[F.xxhash64(*x).bitwiseAND(F.lit(-2).cast("long")).bitwiseOR(F.lit(kind).cast("long")) for x in bands])
-
-
-def _short_bands(lines: DataFrame) -> DataFrame:
-    """(h1, keys, *SKETCH): bands of lines (h1, line), each with a hash of its own, seeded before mixing; a row for each pass.
-
-    A band's values are the least of that hash turned by fifths of 64 bits, so that each orders the shingles by other
-    bits. Shingles are aggregated where their line already is: no shuffle.
-    """
-    rows = _hashed(lines)
-
-    def some(bands: range) -> DataFrame:
-        seeds = [(0x9E3779B97F4A7C15 * (b + 1)) % (1 << 64) - (1 << 63) for b in bands]
-        hashed = rows.select("h1", *[F.xxhash64(F.col("x").bitwiseXOR(F.lit(c))).alias(f"x{b}") for b, c in zip(bands, seeds, strict=True)])
-        least = hashed.groupBy("h1").agg(*[F.min(_turn(f"x{b}", 64 // ROWS * j)).alias(f"m{b}_{j}") for b in bands for j in range(ROWS)])
-        keys = _keys(0, [(F.lit(b), *[f"m{b}_{j}" for j in range(ROWS)]) for b in bands])
-        return least.select("h1", keys.alias("keys"), *_planes([(f"m{b}_{j}", 4 * b + j) for b in bands for j in range(4)]))
-
-    return reduce(DataFrame.unionByName, [some(range(b, b + PASS_BANDS)) for b in range(0, BANDS, PASS_BANDS)])
-
-
-def _long_bands(lines: DataFrame) -> DataFrame:
-    """(h1, keys, *SKETCH, sparse): bands of lines (h1, line) by one hash: its bits deal a shingle to a band, whose values
-    are the least of the hash turned.
-
-    The minima also tell how many different shingles there are, within a ninth: sparse if SPARSE or less.
-    """
-    rows = _hashed(lines).select("h1", F.pmod(F.shiftrightunsigned("x", 40), F.lit(BANDS)).cast("int").alias("bin"), *[_turn("x", 64 // ROWS * j).alias(f"x{j}") for j in range(ROWS)])
-    least = rows.groupBy("h1", "bin").agg(*[F.min(f"x{j}").alias(f"m{j}") for j in range(ROWS)])
-    share = reduce(lambda a, b: a + b, [F.col(f"m{j}") / F.lit(2.0**64) + F.lit(0.5) for j in range(ROWS)])
-    least = least.select("h1", "bin", _keys(1, [("bin", *[f"m{j}" for j in range(ROWS)])])[0].alias("key"), share.alias("share"), *_planes([(f"m{j}", j) for j in range(4)]))
-    sketch = [F.bit_or(F.expr(f"shiftleft(s{p}, 4 * bin)")).alias(f"s{p}") for p in range(PLANES)]
-    line = least.groupBy("h1").agg(F.sum("share").alias("share"), F.count(F.lit(1)).alias("bins"), *sketch, *[F.max(F.when(F.col("bin") == b, F.col("key"))).alias(f"k{b}") for b in range(BANDS)])
-    sparse = (F.col("bins") < BANDS) | (F.lit(BANDS * BANDS * ROWS) <= F.lit(SPARSE) * F.col("share"))
-    return line.select("h1", F.array_compact(F.array(*[f"k{b}" for b in range(BANDS)])).alias("keys"), *SKETCH, sparse.alias("sparse"))
+def _codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of lines end to end, where each starts, its number of shingles; one shorter than a shingle is filled up."""
+    text = "".join(x if len(x) >= SHINGLE else x.ljust(SHINGLE, FILL) for x in lines)
+    size = np.fromiter((max(len(x), SHINGLE) for x in lines), np.int64, len(lines))
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), np.cumsum(size) - size, size - (SHINGLE - 1)
+
+
+def _shingles(lines: list[str]):
+    """(hashes, line of each) of the shingles of lines in order, BLOCK at once."""
+    codes, start, count = _codes(lines)
+    for lo in range(0, len(codes) - SHINGLE + 1, BLOCK):
+        x = K.mix(K.grams(codes[lo : lo + BLOCK + SHINGLE - 1].astype(U), SHINGLE))
+        hi = lo + len(x)
+        i, j = np.searchsorted(start, lo, "right") - 1, np.searchsorted(start, hi, "left")
+        first = np.maximum(start[i:j], lo)
+        own = np.repeat(np.arange(i, j), np.append(first[1:], hi) - first)
+        inside = np.arange(lo, hi) < (start + count)[own]
+        yield x[inside], own[inside]
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << U(n)) | (x >> U(64 - n)) if n else x
+
+
+def _keys(least: np.ndarray, kind: int) -> np.ndarray:
+    """Band keys of values (lines, BANDS, ROWS); the last bit says which way they were made."""
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), least.shape[:2])
+    for r in range(ROWS):
+        key = K.mix(key * U(0xD6E8FEB86659FD93) + least[:, :, r])
+    return (key & ~U(1)) | U(kind)
+
+
+def _planes(least: np.ndarray) -> np.ndarray:
+    """(lines, PLANES): the last bits of the first 4 values of each band, those of one place together."""
+    values = least[:, :, :4].reshape(len(least), -1)
+    at = np.arange(values.shape[1], dtype=U)
+    return np.stack([np.bitwise_or.reduce(((values >> U(p)) & U(1)) << at, axis=1) for p in range(PLANES)], axis=1)
+
+
+def _short_values(lines: list[str]) -> np.ndarray:
+    """(lines, BANDS, ROWS) values: a band's are the least of a hash of its own, seeded before mixing, turned by fifths of
+    64 bits, so that each orders the shingles by other bits."""
+    least = np.full((BANDS, ROWS, len(lines)), np.iinfo(U).max, U)
+    for x, own in _shingles(lines):
+        if not len(x):
+            continue
+        cut = np.flatnonzero(np.diff(own, prepend=-1))
+        who = own[cut]
+        for b in range(BANDS):
+            y = K.mix(x ^ U(0x9E3779B97F4A7C15 * (b + 1) % (1 << 64)))
+            for j in range(ROWS):
+                least[b, j, who] = np.minimum(least[b, j, who], np.minimum.reduceat(_turn(y, 64 // ROWS * j), cut))
+    return np.ascontiguousarray(least.transpose(2, 0, 1))
+
+
+def _long_values(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values as above by one hash, whose bits deal a shingle to a band; (lines, BANDS) whether a band has a shingle;
+    whether a line is sparse: the minima tell how many different shingles there are, within a ninth."""
+    least = np.full(len(lines) * BANDS * ROWS, np.iinfo(U).max, U)
+    for x, own in _shingles(lines):
+        place = (own * BANDS + ((x >> U(40)) % U(BANDS)).astype(np.int64)) * ROWS
+        for j in range(ROWS):
+            np.minimum.at(least, place + j, _turn(x, 64 // ROWS * j))
+    least = least.reshape(-1, BANDS, ROWS)
+    has = least[:, :, 0] != np.iinfo(U).max
+    share = np.where(has[:, :, None], least / 2.0**64, 0).sum(axis=(1, 2))
+    return least, has, ~has.all(axis=1) | (BANDS * BANDS * ROWS <= SPARSE * share)
+
+
+BANDS_SCHEMA = pa.schema([("rep", pa.int64()), ("keys", pa.list_(pa.int64())), *[(s, pa.int64()) for s in SKETCH]])
+
+
+def _signed(names: np.ndarray, lines: list[str]):
+    """Record batches of BANDS_SCHEMA: a row for each line and way."""
+
+    def rows(which: np.ndarray, least: np.ndarray, kind: int, has: np.ndarray) -> pa.RecordBatch:
+        at = np.concatenate([[0], np.cumsum(has.sum(axis=1))])
+        planes = _planes(least).view(np.int64)
+        return pa.record_batch([pa.array(names[which]), K.lists(_keys(least, kind)[has], at), *[pa.array(planes[:, p]) for p in range(PLANES)]], schema=BANDS_SCHEMA)
+
+    size = np.fromiter((len(x) for x in lines), np.int64, len(lines)) - (SHINGLE - 1)
+    long, short = np.flatnonzero(size >= LONG), size <= SHORT
+    if len(long):
+        least, has, sparse = _long_values([lines[i] for i in long])
+        short[long[sparse]] = True
+        yield rows(long, least, 1, has)
+    some = np.flatnonzero(short)
+    if len(some):
+        least = _short_values([lines[i] for i in some])
+        yield rows(some, least, 0, np.ones(least.shape[:2], bool))
+
+
+def _sign(batches):
+    seen = set()
+    for batch in batches:
+        names, column = batch.column("h1").to_pylist(), batch.column("line").cast(pa.large_binary())
+        some, lines, size = [], [], 0
+        for i, name in enumerate(names):
+            if name in seen:
+                continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(name)
+            line = column[i].as_py().decode("utf-8", "replace")
+            some.append(name)
+            lines.append(line)
+            size += len(line)
+            if size >= TOGETHER:
+                yield from _signed(np.array(some, np.int64), lines)
+                some, lines, size = [], [], 0
+        if some:
+            yield from _signed(np.array(some, np.int64), lines)
 
 
 def _texts(lines: DataFrame) -> DataFrame:
@@ -106,34 +171,100 @@ def _wanted(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return _texts(lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids, "h1", "left_semi"))
 
 
+def _ranked(codes: np.ndarray) -> np.ndarray:
+    """A number for each run of SHINGLE code points: equal runs, and only they, have equal ones."""
+    known, code = np.unique(codes, return_inverse=True)
+    bits, n = max(1, (len(known) - 1).bit_length()), len(codes) - SHINGLE + 1
+    packed, used = code[:n].astype(U), bits
+    for i in range(1, SHINGLE):
+        if used + bits > 64:
+            ranks, packed = np.unique(packed, return_inverse=True)
+            packed, used = packed.astype(U), max(1, (len(ranks) - 1).bit_length())
+        packed = (packed << U(bits)) | code[i : n + i].astype(U)
+        used += bits
+    return np.unique(packed, return_inverse=True)[1]
+
+
+def like(lines: list[str], percent: int) -> np.ndarray:
+    """Of lines a, b, a, b, ...: whether the sets of shingles of each a and b have a Jaccard similarity of percent / 100 or more."""
+    codes, start, count = _codes(lines)
+    rank = _ranked(codes)
+    own = np.repeat(np.arange(len(lines)), count)
+    rank = rank[np.arange(len(own)) + np.repeat(start - (np.cumsum(count) - count), count)]
+    most = int(rank.max()) + 1
+    items = np.unique(own * most + rank)
+    own, rank = np.divmod(items, most)
+    size = np.bincount(own, minlength=len(lines)).reshape(-1, 2).sum(axis=1)
+    pair = np.sort(own // 2 * most + rank)
+    both = np.bincount(pair[1:][pair[1:] == pair[:-1]] // most, minlength=len(size))
+    return 100 * both >= percent * (size - both)
+
+
+def _likes(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            one, two = (batch.column(c).cast(pa.large_binary()) for c in ("a_line", "b_line"))
+            lines, size, first = [], 0, 0
+            for i in range(len(one)):
+                x, y = (c[i].as_py().decode("utf-8", "replace") for c in (one, two))
+                lines += (x, y)
+                size += len(x) + len(y)
+                if size >= BLOCK or i == len(one) - 1:
+                    hit = pa.array(like(lines, percent))
+                    yield pa.record_batch([batch.column(c).slice(first, len(hit)).filter(hit) for c in ("a", "b")], schema=schema)
+                    lines, size, first = [], 0, i + 1
+
+    return run
+
+
 def _like(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines whose sets of shingles have a Jaccard similarity of percent / 100 or more: lines are
     joined, and shingles made where they are compared."""
     ids = materialize(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct())
     texts = materialize(_wanted(lines, ids), ids)
     one, two = (texts.select(F.col("h1").alias(c), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
-    shingles = lambda c: F.expr(f"if(char_length({c}_line) < {SHINGLE}, array({c}_line), regexp_extract_all({c}_line, '(?s)(?=(.{{{SHINGLE}}}))', 1))")
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", shingles("a").alias("x"), shingles("b").alias("y"))
-    # a column of the written table: a filter would be evaluated with a copy of the shingles for each use
-    hit = 100 * F.size(F.array_intersect("x", "y")) >= percent * F.size(F.array_union("x", "y"))
-    return materialize(met.select("a", "b", hit.alias("hit")), texts).where("hit").select("a", "b")
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "a_line", "b_line")
+    return materialize(met.mapInArrow(_likes(percent), "a long, b long"), texts)
 
 
 def line_bands(lines: DataFrame) -> DataFrame:
-    """(rep, keys, *SKETCH): the bands of the MinHash signatures of lines (h1, line), which may repeat."""
-    size = F.char_length("line") - F.lit(SHINGLE - 1)
-    long = materialize(_long_bands(_texts(lines.where(size >= LONG))))
-    sparse = materialize(long.where("sparse").select("h1"))
-    short = _short_bands(_texts(lines.where(size <= SHORT)))
-    if not sparse.isEmpty():
-        short = short.unionByName(_short_bands(_wanted(lines.where(size > SHORT), sparse)))
-    return materialize(short.unionByName(long.drop("sparse")), long, sparse).withColumnRenamed("h1", "rep")
+    """(rep, keys, *SKETCH): the bands of the MinHash signatures of lines (h1, line), which may repeat; a row for each
+    line and way, more where several tasks meet the line."""
+    return materialize(lines.select("h1", "line").mapInArrow(_sign, f"rep long, keys array<long>, {', '.join(f'{s} long' for s in SKETCH)}"))
+
+
+def _meeting(batches):
+    """Of rows (key, rep) in order: those whose key another rep has, once each."""
+    schema = pa.schema([("rep", pa.int64()), ("key", pa.int64())])
+    key, rep, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, and whether one before it has its key
+    for batch in batches:
+        key = np.append(key, batch.column("key").to_numpy())
+        rep = np.append(rep, batch.column("rep").to_numpy())
+        if not len(key):
+            continue
+        once = np.append(True, (key[1:] != key[:-1]) | (rep[1:] != rep[:-1]))
+        key, rep = key[once], rep[once]
+        same = key[1:] == key[:-1]
+        keep = np.append(met, same) | np.append(same, False)
+        if len(key) > 1:
+            yield pa.record_batch([pa.array(rep[:-1][keep[:-1]]), pa.array(key[:-1][keep[:-1]])], schema=schema)
+        key, rep, met = key[-1:], rep[-1:], bool(keep[-1])
+    if len(key) and met:
+        yield pa.record_batch([pa.array(rep), pa.array(key)], schema=schema)
+
+
+def meeting(bands: DataFrame) -> DataFrame:
+    """Distinct (rep, key) of the keys that several lines have: one exchange, sorted and read as a stream."""
+    rows = bands.select("rep", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "rep")
+    return materialize(rows.mapInArrow(_meeting, "rep long, key long"))
 
 
 def sketched(met: DataFrame, bands: DataFrame) -> DataFrame:
     """met (rep, key, ...) with the sketch of rep made the way that key was."""
     kind = lambda key: F.col(key).bitwiseAND(F.lit(1).cast("long")).alias("kind")
-    sketches = bands.groupBy("rep", F.col("keys")[0].bitwiseAND(F.lit(1).cast("long")).alias("kind")).agg(*[F.bit_or(s).alias(s) for s in SKETCH])
+    sketches = bands.groupBy("rep", F.col("keys")[0].bitwiseAND(F.lit(1).cast("long")).alias("kind")).agg(*[F.max(s).alias(s) for s in SKETCH])
     return met.withColumn("kind", kind("key")).join(sketches, ["rep", "kind"]).drop("kind")
 
 
@@ -152,7 +283,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         lines = lines.join(F.broadcast(shared_name) if shared_name.count() <= BROADCAST_LINES else shared_name, "h1", "left_anti")
     bands = line_bands(lines)
     close = lambda x, y: F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), [x(s).bitwiseXOR(y(s)) for s in SKETCH])) <= DIFFER
-    found = linked(bands.select("rep", F.explode("keys").alias("key")), close, lambda pairs: _like(pairs, lines, PERCENT), attach=lambda met: sketched(met, bands))
+    found = linked(meeting(bands), close, lambda pairs: _like(pairs, lines, PERCENT), attach=lambda met: sketched(met, bands))
     found = found.withColumnRenamed("node", "h1")
     once = occurrences.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "no", "d1")).alias("at")).join(found, "h1", "left")
     once = materialize(once.where("n > 1 or component is not null").select("h1", "h2", "at", F.struct(F.coalesce("component", "h1").alias("c"), F.when(F.col("component").isNull(), F.col("h2")).alias("h2")).alias("component")))
