@@ -9,6 +9,7 @@ from collections import Counter
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -213,6 +214,35 @@ def test_line_edits_of_short_lines(spark):
     assert len(due) > 200 and gone <= due and len(due - gone) <= 0.01 * len(due)
 
 
+def test_line_likeness_is_exact():
+    """Comparison of lines against Python sets: small and large alphabets, repeats, lines shorter than a shingle."""
+    rng = random.Random(3)
+    k = line_dedup.SHINGLE
+    shingles = lambda x: {x[i : i + k] for i in range(len(x) - k + 1)} or {x}
+    for alphabet in ("ab", "abcdefghijklmnopqrstuvwxyz ", [chr(c) for c in range(0x4E00, 0x9E00)] + ["\U0010ffff"]):
+        for n in (1, 7, 60):
+            lines = []
+            for _ in range(n):
+                a = "".join(rng.choices(alphabet, k=rng.randint(1, 300)))
+                b = "".join(rng.choice(alphabet) if rng.random() < 0.02 else c for c in a)
+                lines += [a, b[: rng.randint(max(1, len(b) - 40), len(b))]]
+            sets = [shingles(x) for x in lines]
+            want = [100 * len(a & b) >= 80 * len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+            assert line_dedup.like(lines, 80).tolist() == want
+
+
+def test_line_buckets_read_as_a_stream():
+    """Rows whose key another line has, once each, wherever batches end."""
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(40), rng.randrange(6)) for _ in range(120))
+    lines_of = Counter(key for key, _ in set(rows))
+    want = sorted((key, rep) for key, rep in set(rows) if lines_of[key] > 1)
+    for size in (1, 2, 7, 200):
+        batches = [pa.record_batch({"rep": pa.array([r for _, r in rows[i : i + size]], pa.int64()), "key": pa.array([x for x, _ in rows[i : i + size]], pa.int64())}) for i in range(0, len(rows), size)]
+        got = [(key, rep) for b in line_dedup._meeting(iter(batches)) for key, rep in zip(b.column("key").to_pylist(), b.column("rep").to_pylist())]
+        assert got == want
+
+
 def test_line_bands_recall(spark):
     """Pairs of lines at a similarity of 0.8 or a little more meet in a band as often as independent values would, at
     every length and across the bounds of the two ways, with shingles that repeat and without."""

@@ -171,32 +171,39 @@ def _wanted(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return _texts(lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids, "h1", "left_semi"))
 
 
-def _ranked(codes: np.ndarray) -> np.ndarray:
-    """A number for each run of SHINGLE code points: equal runs, and only they, have equal ones."""
-    known, code = np.unique(codes, return_inverse=True)
+def _packed(codes: np.ndarray, most_bits: int) -> tuple[np.ndarray, int]:
+    """(a number for each run of SHINGLE code points, its bits, most_bits at most): equal runs, and only they, have equal ones."""
+    known = np.unique(codes)
+    table = np.zeros(int(known[-1]) + 1, U)
+    table[known] = np.arange(len(known), dtype=U)
+    code = table[codes]
     bits, n = max(1, (len(known) - 1).bit_length()), len(codes) - SHINGLE + 1
-    packed, used = code[:n].astype(U), bits
+    packed, used = code[:n], bits
     for i in range(1, SHINGLE):
         if used + bits > 64:
-            ranks, packed = np.unique(packed, return_inverse=True)
-            packed, used = packed.astype(U), max(1, (len(ranks) - 1).bit_length())
-        packed = (packed << U(bits)) | code[i : n + i].astype(U)
-        used += bits
-    return np.unique(packed, return_inverse=True)[1]
+            packed, used = _ranks(packed)
+        packed, used = (packed << U(bits)) | code[i : n + i], used + bits
+    return (packed, used) if used <= most_bits else _ranks(packed)
+
+
+def _ranks(packed: np.ndarray) -> tuple[np.ndarray, int]:
+    known, rank = np.unique(packed, return_inverse=True)
+    return rank.astype(U), max(1, (len(known) - 1).bit_length())
 
 
 def like(lines: list[str], percent: int) -> np.ndarray:
     """Of lines a, b, a, b, ...: whether the sets of shingles of each a and b have a Jaccard similarity of percent / 100 or more."""
     codes, start, count = _codes(lines)
-    rank = _ranked(codes)
+    item, bits = _packed(codes, 64 - len(lines).bit_length())
     own = np.repeat(np.arange(len(lines)), count)
-    rank = rank[np.arange(len(own)) + np.repeat(start - (np.cumsum(count) - count), count)]
-    most = int(rank.max()) + 1
-    items = np.unique(own * most + rank)
-    own, rank = np.divmod(items, most)
-    size = np.bincount(own, minlength=len(lines)).reshape(-1, 2).sum(axis=1)
-    pair = np.sort(own // 2 * most + rank)
-    both = np.bincount(pair[1:][pair[1:] == pair[:-1]] // most, minlength=len(size))
+    item = item[np.arange(len(own)) + np.repeat(start - (np.cumsum(count) - count), count)]
+    item = np.sort((own.astype(U) << U(bits)) | item)  # a line's number above each of its shingles
+    item = item[np.append(True, item[1:] != item[:-1])]
+    first = np.searchsorted(item, np.arange(len(lines) + 1, dtype=U) << U(bits))
+    size = np.diff(first).reshape(-1, 2).sum(axis=1)
+    own = np.repeat(np.arange(len(lines)) // 2, np.diff(first)).astype(U)
+    item = np.sort((own << U(bits)) | (item & U((1 << bits) - 1)))
+    both = np.bincount((item[1:][item[1:] == item[:-1]] >> U(bits)).astype(np.int64), minlength=len(size))
     return 100 * both >= percent * (size - both)
 
 
@@ -256,9 +263,15 @@ def _meeting(batches):
 
 
 def meeting(bands: DataFrame) -> DataFrame:
-    """Distinct (rep, key) of the keys that several lines have: one exchange, sorted and read as a stream."""
-    rows = bands.select("rep", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "rep")
-    return materialize(rows.mapInArrow(_meeting, "rep long, key long"))
+    """Distinct (rep, key) of the keys that several lines have: sorted by key and read as a stream, in two exchanges of
+    half the keys, so that only one takes disk at a time."""
+    rows = bands.select("rep", F.explode("keys").alias("key"))
+
+    def half(bit: int) -> DataFrame:
+        some = rows.where(F.col("key").bitwiseAND(F.lit(2).cast("long")) == bit)
+        return materialize(some.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_meeting, "rep long, key long"))
+
+    return half(0).unionByName(half(2))
 
 
 def sketched(met: DataFrame, bands: DataFrame) -> DataFrame:
@@ -283,7 +296,9 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         lines = lines.join(F.broadcast(shared_name) if shared_name.count() <= BROADCAST_LINES else shared_name, "h1", "left_anti")
     bands = line_bands(lines)
     close = lambda x, y: F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), [x(s).bitwiseXOR(y(s)) for s in SKETCH])) <= DIFFER
-    found = linked(meeting(bands), close, lambda pairs: _like(pairs, lines, PERCENT), attach=lambda met: sketched(met, bands))
+    met = meeting(bands)
+    found = linked(met, close, lambda pairs: _like(pairs, lines, PERCENT), attach=lambda met: sketched(met, bands))
+    drop_table(met)
     found = found.withColumnRenamed("node", "h1")
     once = occurrences.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "no", "d1")).alias("at")).join(found, "h1", "left")
     once = materialize(once.where("n > 1 or component is not null").select("h1", "h2", "at", F.struct(F.coalesce("component", "h1").alias("c"), F.when(F.col("component").isNull(), F.col("h2")).alias("h2")).alias("component")))
