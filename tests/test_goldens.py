@@ -155,6 +155,27 @@ def test_csv(spark, tmp_path):
     assert got[0][0] == "2024-01-02 12:00:00" and math.isnan(got[0][1]) and got[1] == ("2024-01-03 00:00:00", 5.0)
     n = batch.csv_source(spark, str(tmp_path), ["open"], start="2025-01-01")
     assert [r.open for r in n.df.collect()] == [5.0]
+    first = lambda **kw: str(min(r.ts for r in batch.csv_source(spark, str(tmp_path), ["close"], **kw).df.collect()))
+    assert first(tz_offset=timedelta(hours=8)) == "2023-12-31 16:00:00"
+    assert first(tz_offset=timedelta(hours=8), offset=timedelta(hours=15)) == "2024-01-01 07:00:00"
+    assert first(is_utc=False) == "2023-12-31 23:59:23"  # TAI was 37 s ahead
+
+
+def test_day_start_leap(spark):
+    df = spark.sql("select date'2017-01-01' as d, 5 as i, timestamp'2017-01-01 00:00:00' as t")
+    got = df.select(leap.day_start(F.col("d"), tz_offset=timedelta(seconds=2)).alias("a"), leap.to_ns(F.col("i")).alias("b"), leap.to_ns(F.col("t")).alias("c")).first()
+    assert str(got.a) == "2016-12-31 23:59:59"  # two elapsed seconds, one of them the leap second
+    assert (got.b, got.c) == (5, 1483228800_000_000_000)
+
+
+def test_concat(spark):
+    a = panel(spark, [(1, 0, 1), (1, 1, 2), (3, 0, 3)])
+    b = panel(spark, [(2, 0, 7)])
+    held = align.concat([a, b], "i", [2, 1])
+    assert [(r.ts, r.i, r.v) for r in held.df.orderBy("ts", "i").collect()] == [(1, 0, 1), (1, 1, 2), (1, 2, 0), (2, 0, 1), (2, 1, 2), (2, 2, 7), (3, 0, 3), (3, 1, 2), (3, 2, 7)]
+    same([r.v for r in align.concat_sync([a, b], "i", [2, 1]).df.orderBy("ts", "i").collect()], [1, 2, NAN, NAN, NAN, 7, 3, NAN, NAN])
+    with pytest.raises(ValueError):
+        align.concat([a, b], "k")
 
 
 def test_sources(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,4 +38,18 @@ def tai_to_utc(ns: Column) -> Column:
 
 def to_ns(ts: Column) -> Column:
     """A timestamp (microseconds) or an integer (already nanoseconds) as int64 nanoseconds."""
-    return F.unix_micros(ts) * 1000
+    whole = F.typeof(ts).isin("tinyint", "smallint", "int", "bigint")
+    return F.when(whole, ts.cast("string").try_cast("bigint")).otherwise(F.unix_micros(ts.cast("timestamp")) * 1000)
+
+
+def day_start(day: Column, is_utc: bool = True, tz_offset: timedelta = timedelta(0), offset: timedelta = timedelta(0)) -> Column:
+    """The timestamp at which a date starts, tz_offset east of Greenwich, and offset later.
+
+    The date names a day of UTC, or, without is_utc, of TAI, whose days have no leap seconds. Both offsets are elapsed
+    time, so leap seconds between count.
+    """
+    ns = F.unix_date(day).cast("long") * (86_400 * NS)
+    shift = round((offset - tz_offset) / timedelta(microseconds=1)) * 1000
+    if is_utc and not shift:
+        return F.timestamp_micros(F.unix_date(day).cast("long") * 86_400_000_000)
+    return F.timestamp_micros(F.call_function("div", tai_to_utc((utc_to_tai(ns) if is_utc else ns) + shift), F.lit(1000)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,19 +71,23 @@ def on_all(df: DataFrame, ts: str, node: Node) -> DataFrame:
     return df.select(ts).distinct().crossJoin(F.broadcast(entities)) if node.entity else df.select(ts).distinct()
 
 
-def resample(clock: DataFrame, node: Node, clock_ts: str = "ts") -> Node:
-    """node's latest value at each tick of a clock; before the first tick it reads as init.
+def _on_clock(clock: DataFrame, node: Node) -> DataFrame:
+    """node's latest values at each tick (node.ts) of a clock for each of its entities, and ticked_1.
 
     The clock's ticks are spread over the entities as an array on a table of entities, so no row of data is repeated.
     """
-    ticks = clock.select(F.col(clock_ts).alias(node.ts)).distinct()
     if node.entity:
-        all_ticks = ticks.agg(F.collect_list(node.ts).alias("_t"))  # a clock: bounded by calendar time
+        all_ticks = clock.agg(F.collect_list(node.ts).alias("_t"))  # a clock: bounded by calendar time
         grid = node.df.select(*node.entity).distinct().join(F.broadcast(all_ticks)).select(*node.entity, F.explode("_t").alias(node.ts))
     else:
-        grid = ticks
+        grid = clock
     grid = Node(grid.withColumn("_tick", F.lit(True)), node.ts, node.entity, ("_tick",), None)
-    out = merge_latest(grid, node, ticks="0")
+    return merge_latest(grid, node, ticks="0")
+
+
+def resample(clock: DataFrame, node: Node, clock_ts: str = "ts") -> Node:
+    """node's latest value at each tick of a clock; before the first tick it reads as init."""
+    out = _on_clock(clock.select(F.col(clock_ts).alias(node.ts)).distinct(), node)
     return node.with_df(out.select(*node.keys, *node.values))
 
 
@@ -92,7 +97,37 @@ def at_ticks(clock: Node, node: Node) -> Node:
     return node.with_df(node.df.join(clock.df.select(*keys).distinct(), keys, "left_semi"))
 
 
-def concat(nodes: list[Node], axis: str, sync: bool = False) -> Node:
+def concat(nodes: list[Node], axis: str, sizes: list[int] | None = None, sync: bool = False) -> Node:
+    """Nodes end to end along `axis`, one of their entity columns; they may differ in length there.
+
+    With sizes the axis counts from 0 in each node, and a node's entries come after those of the nodes before it, so many
+    as sizes says. Without, entries are named: no two nodes may have the same. At every tick of any node all entries tick:
+    with their latest values (init before their first), or, if sync, NaN where they did not tick.
+    """
+    first = nodes[0]
+    if axis not in first.entity:
+        raise ValueError(f"no entity column {axis}; stack() makes a new one")
+    if any((n.entity, n.values) != (first.entity, first.values) for n in nodes):
+        raise ValueError("nodes differ in their entity columns or values")
+    if sizes is not None and len(sizes) != len(nodes):
+        raise ValueError("sizes has one number for each node")
+    clock = reduce(DataFrame.union, [n.df.select(F.col(n.ts).alias(first.ts)) for n in nodes]).distinct()
+    parts = []
+    for i, n in enumerate(nodes):
+        df = n.df.select(*first.entity, F.col(n.ts).alias(first.ts), *n.values)
+        if sizes is not None:
+            df = df.withColumn(axis, F.col(axis) + sum(sizes[:i]))
+        parts.append(_on_clock(clock, n.with_df(df, ts=first.ts)))
+    read = [F.when(F.col("ticked_1"), F.col(v)).otherwise(F.lit(float("nan"))).alias(v) if sync else F.col(v) for v in first.values]
+    out = reduce(DataFrame.union, [p.select(*first.keys, *read) for p in parts])
+    return first.with_df(out, init=float("nan") if sync else first.init)
+
+
+def concat_sync(nodes: list[Node], axis: str, sizes: list[int] | None = None) -> Node:
+    return concat(nodes, axis, sizes, sync=True)
+
+
+def stack(nodes: list[Node], axis: str = "i", sync: bool = False) -> Node:
     """Nodes side by side along `axis`, a new entity column numbering the input.
 
     At every tick of any input: the latest value of each (init before its first), or, if sync, the values of those
@@ -107,12 +142,8 @@ def concat(nodes: list[Node], axis: str, sync: bool = False) -> Node:
     return Node(out, first.ts, (*first.entity, axis), ("v",), float("nan") if sync else 0.0)
 
 
-def stack(nodes: list[Node], axis: str = "i") -> Node:
-    return concat(nodes, axis)
-
-
 def stack_sync(nodes: list[Node], axis: str = "i") -> Node:
-    return concat(nodes, axis, sync=True)
+    return stack(nodes, axis, sync=True)
 
 
 def densify(node: Node, fill: float = float("nan")) -> Node:

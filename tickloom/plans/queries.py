@@ -297,6 +297,25 @@ def stack_sync(spark, d):
     return out(align.stack_sync(two(spark, d)))
 
 
+CONCAT = E.rstrip() + ", a AS (SELECT user_id % 3 AS k, us, max(v) AS v FROM e WHERE event_type = 'click' GROUP BY ALL), b AS (SELECT 3 + user_id % 2 AS k, us, max(v) AS v FROM e WHERE event_type = 'error' GROUP BY ALL), x AS (FROM a UNION ALL FROM b), g AS (SELECT k, us FROM (SELECT DISTINCT us FROM x), (SELECT DISTINCT k FROM x)) "
+
+
+def ends(spark, d) -> list[Node]:
+    """Clicks along an axis of 3 entries, errors along one of 2."""
+    parts = [(of_type(spark, d, "click").df, 3), (of_type(spark, d, "error").df, 2)]
+    return [Node(df.groupBy((F.col("user_id") % n).alias("k"), "ts").agg(F.max("v").alias("v")), "ts", ("k",)) for df, n in parts]
+
+
+@query("concat", CONCAT + "SELECT g.k, g.us, ROUND(coalesce(x.v, 0), 6) AS v FROM g ASOF LEFT JOIN x ON g.k = x.k AND g.us >= x.us")
+def concat(spark, d):
+    return out(align.concat(ends(spark, d), "k", [3, 2]))
+
+
+@query("concat_sync", CONCAT + "SELECT g.k, g.us, ROUND(x.v, 6) AS v FROM g LEFT JOIN x ON g.k = x.k AND g.us = x.us")
+def concat_sync(spark, d):
+    return out(align.concat_sync(ends(spark, d), "k", [3, 2]))
+
+
 @query("coalesce_ticks", "SELECT user_id, epoch_us(date_trunc('day', ts)) AS us, ROUND(arg_max(value, event_id), 6) AS v FROM events GROUP BY ALL")
 def coalesce_ticks(spark, d):
     df = table(spark, d, "events").select("user_id", us("date_trunc('day', ts)").alias("us"), "event_id", F.col("value").alias("v"))

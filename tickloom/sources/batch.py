@@ -42,15 +42,16 @@ def carry_in(df: DataFrame, ts: str, start, end, entity: tuple[str, ...] = ()) -
     return inside.where(F.col(ts) > s).unionByName(carried)
 
 
-def csv_source(spark: SparkSession, path: str, columns: list[str], *, time_column: str = "date", entity: Column | None = None, start=None, end=None, offset: timedelta = timedelta(0)) -> Node:
+def csv_source(spark: SparkSession, path: str, columns: list[str], *, time_column: str = "date", entity: Column | None = None, start=None, end=None, offset: timedelta = timedelta(0), is_utc: bool = True, tz_offset: timedelta = timedelta(0)) -> Node:
     """Ticks from CSV with a header: the date is the first ten characters of time_column, values are doubles, empty is NaN.
 
     All files at path are read at once; `entity` (such as a part of input_file_name()) tells them apart. Rows of one
-    timestamp coalesce, the last in the file counting.
+    timestamp coalesce, the last in the file counting. Dates are of UTC, or of TAI without is_utc, tz_offset east of
+    Greenwich; offset is added.
     """
     # the header decides the order, so all columns are read as text and only the wanted ones survive pruning
     raw = spark.read.csv(path, header=True, inferSchema=False)
-    ts = F.to_timestamp(F.to_date(F.substring(time_column, 1, 10), "yyyy-MM-dd")) + F.expr(f"make_dt_interval(0, 0, 0, {offset.total_seconds()})")
+    ts = leap.day_start(F.to_date(F.substring(time_column, 1, 10), "yyyy-MM-dd"), is_utc, tz_offset, offset)
     values = [F.coalesce(F.nullif(F.trim(f"`{c}`"), F.lit("")).cast("double"), F.lit(NAN)).alias(c.replace(".", "_")) for c in columns]
     names = [c.replace(".", "_") for c in columns]
     keys = ("entity",) if entity is not None else ()
@@ -87,16 +88,17 @@ def _midnights(days: DataFrame, start: str, end: str, tz: str) -> DataFrame:
     return days.select(ts.alias("ts")).where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") <= F.lit(end).cast("timestamp")))
 
 
-def financial_reports(df: DataFrame, values: list[str], *, report: str = "report_date", notice: str | None = "notice_date", entity: tuple[str, ...] = (), order: str | None = None, with_report_date: bool = False, use_effective_date: bool = True, fallback: timedelta = timedelta(days=90), start=None, end=None) -> Node:
+def financial_reports(df: DataFrame, values: list[str], *, report: str = "report_date", notice: str | None = "notice_date", entity: tuple[str, ...] = (), order: str | None = None, with_report_date: bool = False, use_effective_date: bool = True, fallback: timedelta = timedelta(days=90), start=None, end=None, is_utc: bool = True, tz_offset: timedelta = timedelta(0)) -> Node:
     """Reports as ticks at the day they are known: the later of report and notice date.
 
     A missing notice counts as report date + fallback. In effective-date mode reports that are no newer than one
-    already known are dropped; otherwise the tick is the report date. with_report_date puts year and day of year first.
+    already known are dropped; otherwise the tick is the report date. with_report_date puts year and day of year first. is_utc and tz_offset are as in
+    csv_source.
     """
     r = F.to_date(report)
     late = F.date_add(r, fallback.days)
     known = F.coalesce(F.to_date(notice), late) if notice else late
-    df = df.withColumn("_r", r).withColumn("ts", (F.greatest(r, known) if use_effective_date else r).cast("timestamp"))
+    df = df.withColumn("_r", r).withColumn("ts", leap.day_start(F.greatest(r, known) if use_effective_date else r, is_utc, tz_offset))
     ties = [F.col(order)] if order else [F.col("_r")]
     if use_effective_date:
         seen = F.max("_r").over(Window.partitionBy(*entity).orderBy("ts", *ties).rowsBetween(Window.unboundedPreceding, -1))
