@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ORACLES = ["rolling_mean", "ema", "asof_join", "stack_sync", "concat", "concat_sync", "winsorize", "rank_linear", "forward_adjust", "financial_reports", "drawdown", "ols_expanding"]
+ORACLES = ["rolling_mean", "ema", "asof_join", "stack_sync", "concat", "concat_sync", "financial_ratios", "winsorize", "rank_linear", "forward_adjust", "financial_reports", "drawdown", "ols_expanding"]
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import ieee, leap
@@ -449,6 +449,40 @@ def annualize(spark, d):
     return _days(a).select("o_custkey", "day_no", F.when(~F.isnan("x"), F.round(F.col("x") * 1.0001, 2)).alias("x"))
 
 
+# the balance, the year-to-date profit and the shares of each brand, known at the ends of quarters and starts of years
+FINANCE = PANEL.rstrip() + """, l AS (SELECT p_brand AS brand, l_shipdate::DATE AS day, l_extendedprice AS x, l_discount AS y, l_quantity AS n FROM lineitem JOIN part ON l_partkey = p_partkey),
+q AS (SELECT brand, (date_trunc('quarter', day) + INTERVAL 3 MONTH)::DATE - 1 AS t, sum(x * y) AS profit, sum(x) AS equity FROM l GROUP BY ALL),
+c AS (SELECT *, sum(profit) OVER (PARTITION BY brand, year(t) ORDER BY t) AS ytd FROM q),
+a AS (SELECT brand, t, equity, ytd, CASE WHEN lag(year(t)) OVER w = year(t) THEN lag(dayofyear(t)) OVER w ELSE 0 END AS pd, CASE WHEN lag(year(t)) OVER w = year(t) THEN lag(ytd) OVER w ELSE 0 END AS px FROM c WINDOW w AS (PARTITION BY brand ORDER BY t)),
+i AS (SELECT brand, t, equity, avg((ytd - px) * 365 / (dayofyear(t) - pd)) OVER (PARTITION BY brand ORDER BY t RANGE BETWEEN INTERVAL 365 DAY PRECEDING AND CURRENT ROW) AS ttm FROM a),
+f AS (SELECT brand, epoch_us(t::TIMESTAMP) AS us, equity, ttm FROM i),
+s AS (SELECT brand, epoch_us(date_trunc('year', day)::TIMESTAMP) AS us, sum(n) AS shares FROM l GROUP BY ALL),
+k AS (SELECT brand, us FROM p UNION SELECT brand, us FROM f UNION SELECT brand, us FROM s),
+j AS (SELECT k.brand, k.us, p.v * s.shares AS cap, f.equity, f.ttm FROM k ASOF LEFT JOIN p ON k.brand = p.brand AND k.us >= p.us ASOF LEFT JOIN s ON k.brand = s.brand AND k.us >= s.us ASOF LEFT JOIN f ON k.brand = f.brand AND k.us >= f.us) """
+
+
+@query("financial_ratios", FINANCE + "SELECT brand, us, ROUND(cap / 1e6::DOUBLE, 3) AS market_cap_m, ROUND(ttm / cap, 6) AS ep, ROUND(equity / cap, 6) AS bp, ROUND(ttm / equity, 6) AS roe FROM j WHERE cap IS NOT NULL AND ttm IS NOT NULL")
+def financial_ratios(spark, d):
+    """Market value, profit of the last year and equity of each brand at every tick of its prices, shares and reports: E/P, B/P, ROE."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
+    li = table(spark, d, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("x"), F.col("l_discount").alias("y"), F.col("l_quantity").alias("n")).join(part, "l_partkey")
+    end = F.date_sub(F.add_months(F.trunc("day", "quarter"), 3), 1)
+    quarters = li.groupBy("brand", end.alias("report_date")).agg(F.sum(F.col("x") * F.col("y")).alias("profit"), F.sum("x").alias("equity"))
+    so_far = Window.partitionBy("brand", F.year("report_date")).orderBy("report_date")
+    quarters = quarters.withColumn("profit", F.sum("profit").over(so_far))
+    known = {"notice": None, "entity": ("brand",), "use_effective_date": False}
+    income = stocks.annualize(batch.financial_reports(quarters, ["profit"], with_report_date=True, **known))
+    ttm = rolling.rolling_mean(income, timedelta(days=365)).renamed("ttm")
+    equity = batch.financial_reports(quarters, ["equity"], **known)
+    shares = Node(li.groupBy("brand", us("date_trunc('year', day)").alias("ts")).agg(F.sum("n").alias("shares")), "ts", ("brand",), ("shares",))
+    reported = [n.with_df(n.df.withColumn("ts", us("ts"))) for n in (ttm, equity)]
+    df = align.merge_latest(*[n.with_df(n.df, init=None) for n in (panel(spark, d), shares, *reported)])
+    cap = F.col("v") * F.col("shares")
+    df = df.where("v is not null and shares is not null and ttm is not null")
+    ratio = lambda a, b: F.round(ieee.divide(a, b), 6)
+    return df.select("brand", F.col("ts").alias("us"), F.round(cap / 1e6, 3).alias("market_cap_m"), ratio(F.col("ttm"), cap).alias("ep"), ratio(F.col("equity"), cap).alias("bp"), ratio(F.col("ttm"), F.col("equity")).alias("roe"))
+
+
 ORD = "WITH v AS (SELECT epoch_us(o_orderdate) AS us, sum(o_totalprice) AS v FROM orders GROUP BY ALL), r AS (SELECT us, v, v / lag(v) OVER (ORDER BY us) - 1 AS r, first_value(v) OVER (ORDER BY us) AS v0, row_number() OVER (ORDER BY us) AS n FROM v) "
 UPTO = "OVER (ORDER BY us ROWS UNBOUNDED PRECEDING)"
 
