@@ -332,3 +332,16 @@ def test_random_trader_draws_tradable_names(spark):
     rows = days(spark, [(1, "a", 10.0, 10.0, 1.0, 1.0), (1, "b", float("nan"), 20.0, 1.0, 1.0), (1, "c", 0.0, 5.0, 1.0, 1.0)], [(1, "a", 0.2), (1, "b", 0.5), (1, "c", 0.3)])
     (r,) = traders.random_trader(rows, 1000.0, 2, seed=1, lot_size=1).collect()
     assert (r.holdings, r.cash) == (100.0, 900.0)  # 0.2 / 2 of 1000 in the only name with a price
+
+
+def test_frontier_points(spark):
+    w = {"a": [0.25, 0.75, 0.0], "b": [1.0, -0.5, NAN], "c": [0.0, 0.0, -1.0]}
+    mu, sigma = np.array([0.01, 0.02, 0.5]), np.array([[0.04, 0.01, 0.0], [0.01, 0.09, 0.02], [0.0, 0.02, 0.3]])
+    positions = Node(spark.createDataFrame([(s, i, 5, x) for s, r in w.items() for i, x in enumerate(r)], "strategy string, i int, ts long, v double"), "ts", ("strategy", "i"))
+    means = panel(spark, [(5, i, x) for i, x in enumerate(mu)])
+    cov = Node(spark.createDataFrame([(5, i, j, float(sigma[i, j])) for i in range(3) for j in range(3)], "ts long, i int, j int, cov double"), "ts", ("i", "j"), ("cov",))
+    got = {r.strategy: (r.expected, r.deviation) for r in portfolios.frontier_points(positions, means, cov).df.collect()}
+    lin = np.exp(mu + np.diag(sigma) / 2) - 1
+    full = np.outer(1 + lin, 1 + lin) * (np.exp(sigma) - 1)
+    for s, x in (("a", np.array([0.25, 0.75, 0])), ("b", np.array([1.0, 0, 0])), ("c", np.zeros(3))):
+        assert np.allclose(got[s], (x @ lin, np.sqrt(x @ full @ x)))

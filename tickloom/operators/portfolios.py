@@ -177,8 +177,10 @@ def minimum_variance_weights(sigma: np.ndarray, long_only: bool = True) -> np.nd
 # --- portfolios that need covariances ---
 
 
-def optimised(universe: Node, covariances: Node, returns: Node | None, positions: Callable[..., np.ndarray], logarithmic: bool = True) -> Node:
-    """positions(mu, sigma) (or positions(sigma) without returns) at each universe tick, zero outside the mask.
+def optimised_all(universe: Node, covariances: Node, returns: Node | None, strategies: dict[str, Callable[..., np.ndarray]], logarithmic: bool = True) -> Node:
+    """Positions of each strategy (entity: strategy, stock) at each universe tick, zero outside the mask, from one pass.
+
+    A strategy is a function of (mu, sigma), or of sigma without returns.
 
     Inputs are read as of the universe tick. In the mask are stocks of the universe with a finite diagonal (and mean).
     Log inputs become linear: mu = expm1(m + diag / 2), sigma = (1 + mu)(1 + mu)' expm1(c). Ticks are solved in parallel.
@@ -202,9 +204,9 @@ def optimised(universe: Node, covariances: Node, returns: Node | None, positions
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return nothing("ts", e, "v")
+            return nothing("strategy", "ts", e, "v")
         names = sorted(left[e])
-        w = pd.Series(0.0, index=names)
+        w = pd.DataFrame(0.0, index=names, columns=list(strategies))
         if len(right):
             m = right.pivot(index=e, columns="j", values="cov")
             ok = [i for i in names if i in m.index and np.isfinite(m.loc[i, i])]
@@ -220,11 +222,19 @@ def optimised(universe: Node, covariances: Node, returns: Node | None, positions
                 s = np.outer(1 + lin, 1 + lin) * np.expm1(s)
                 mu = lin if mu is not None else None
             if ok:
-                w[ok] = positions(mu, s) if has_means else positions(s)
-        return pd.DataFrame({"ts": [left["uts"].iloc[0]] * len(names), e: names, "v": w.to_numpy()})
+                for name, positions in strategies.items():
+                    w.loc[ok, name] = positions(mu, s) if has_means else positions(s)
+        n = len(names)
+        return pd.DataFrame({"strategy": [name for name in strategies for _ in names], "ts": [left["uts"].iloc[0]] * n * len(strategies), e: names * len(strategies), "v": w.to_numpy().T.ravel()})
+
+    out = side.groupBy("uts").cogroup(cov.groupBy("uts")).applyInPandas(run, f"strategy string, ts {kind}, {e} {key}, v double")
+    return Node(out, "ts", ("strategy", e))
 
-    out = side.groupBy("uts").cogroup(cov.groupBy("uts")).applyInPandas(run, f"ts {kind}, {e} {key}, v double")
-    return Node(out, "ts", (e,))
+
+def optimised(universe: Node, covariances: Node, returns: Node | None, positions: Callable[..., np.ndarray], logarithmic: bool = True) -> Node:
+    """The positions of one strategy, as optimised_all()."""
+    many = optimised_all(universe, covariances, returns, {"": positions}, logarithmic)
+    return Node(many.df.drop("strategy"), many.ts, universe.entity)
 
 
 def minimum_variance(universe: Node, covariances: Node, long_only: bool = True, logarithmic: bool = True) -> Node:
@@ -238,3 +248,30 @@ def markowitz_portfolio(universe: Node, returns: Node, covariances: Node, mode:
 def markowitz_std(universe: Node, returns: Node, covariances: Node, risk_aversion: float = 1.0, long_only: bool = True) -> Node:
     """Mean less risk_aversion times deviation, fully invested."""
     return markowitz_portfolio(universe, returns, covariances, "min_mean_std_dev", risk_aversion, long_only)
+
+
+def frontier_points(positions: Node, returns: Node, covariances: Node) -> Node:
+    """(expected, deviation) of the positions of each strategy at their ticks, by the log moments predicted at those ticks.
+
+    positions: entity (strategy, stock). Moments become linear as in optimised(). Only finite positive positions count;
+    where a strategy has none, both are 0.
+    """
+    (strategy, e), ts = positions.entity, positions.ts
+    kinds = dict(positions.df.dtypes)
+    means = returns.df.select(F.col(returns.ts).alias(ts), e, F.col(returns.v).alias("m"))
+    held = positions.df.select(strategy, ts, e, F.col(positions.v).alias("w")).join(means, [ts, e], "left")
+    cov = covariances.df.select(F.col(covariances.ts).alias(ts), "i", "j", F.col(covariances.v).alias("c"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        full = right.pivot(index="i", columns="j", values="c")
+        rows = []
+        for name, own in left.groupby(strategy, dropna=False):
+            own = own[np.isfinite(own["w"].to_numpy(float)) & (own["w"].to_numpy(float) > 0)]
+            x, sigma = own["w"].to_numpy(float), full.reindex(index=own[e], columns=own[e]).to_numpy(float)
+            mu = np.expm1(own["m"].to_numpy(float) + np.diag(sigma) / 2)
+            sigma = np.outer(1 + mu, 1 + mu) * np.expm1(sigma)
+            rows.append((name, left[ts].iloc[0], float(mu @ x), float(np.sqrt(max(x @ sigma @ x, 0.0)))))
+        return pd.DataFrame(rows, columns=["strategy", "ts", "expected", "deviation"])
+
+    out = held.groupBy(ts).cogroup(cov.groupBy(ts)).applyInPandas(run, f"strategy {kinds[strategy]}, ts {kinds[ts]}, expected double, deviation double")
+    return Node(out, "ts", ("strategy",), ("expected", "deviation"))

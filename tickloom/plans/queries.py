@@ -627,6 +627,40 @@ def mean_strategy(spark, d):
     return df.select("strategy", F.col("ts").alias("us"), tidy("sharpe").alias("sharpe"), tidy("drawdown").alias("drawdown"))
 
 
+def _worth(spark, d, positions: Node) -> Node:
+    """The value of each strategy filled without costs, event types being the stocks."""
+    prices = daily(spark, d).df.select(F.col("event_type").alias("entity"), "ts", (F.col("v") * 0.99).alias("open"), F.col("v").alias("close"), F.lit(1000.0).alias("volume"), F.lit(1.0).alias("adjust"))
+    weights = positions.df.select("strategy", "ts", F.col("event_type").alias("entity"), F.col("v").alias("w"))
+    run = traders.benchmark(traders.market_rows(prices, weights), 1e6)
+    return Node(run.select("strategy", "ts", (F.col("holdings") + F.col("cash")).alias("v")), "ts", ("strategy",))
+
+
+#: Risk aversions of the frontier.
+AVERSIONS = [0.0, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0]
+
+
+def _frontier(spark, d) -> tuple[Node, Node, Node]:
+    u, m, c, _ = _models(spark, d)
+    return portfolios.optimised_all(u, c, m, {f"{a:04.1f}": lambda m, s, a=a: portfolios.markowitz(m, s, "min_mean_std_dev", a) for a in AVERSIONS}), m, c
+
+
+@query("mean_variance_frontier")
+def mean_variance_frontier(spark, d):
+    """Expected return and deviation of the portfolio of each risk aversion at each rebalancing."""
+    return out(portfolios.frontier_points(*_frontier(spark, d)))
+
+
+@query("mean_variance_strategy")
+def mean_variance_strategy(spark, d):
+    """Value, Sharpe ratio, drawdown and compound return of each risk aversion."""
+    value = _worth(spark, d, _frontier(spark, d)[0])
+    value = value.with_df(value.df.persist())  # a row for each strategy and tick, read four times
+    parts = [value, metrics.sharpe_ratio(value), metrics.drawdown(value), metrics.compound_return(value)]
+    names = ["value", "sharpe", "drawdown", "compound"]
+    df = align.merge_latest(*[n.renamed(name) for n, name in zip(parts, names, strict=True)])
+    return df.select("strategy", F.col("ts").alias("us"), *[tidy(name).alias(name) for name in names])
+
+
 @query("stream_rolling_mean", ORACLES["rolling_mean"])
 def stream_rolling_mean(spark, d):
     """The same as rolling_mean, by the stateful stream over what is there."""
