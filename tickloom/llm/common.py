@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.shared import remove, shared_dir
+
 #: A word is a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -17,18 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only in local mode without it."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("tickloom.shared.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("tickloom.shared.dir", found)
-    return found
-
-
 def materialize(df: DataFrame, *done: DataFrame) -> DataFrame:
     """df as a written table in the shared folder: cuts lineage, survives lost executors.
 
@@ -46,11 +35,8 @@ def materialize(df: DataFrame, *done: DataFrame) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a table that materialize() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        remove(df.sparkSession, path)
 
 
 def free_names(*frames: DataFrame | list[str], names: tuple[str, ...]) -> tuple[str, ...]:

@@ -667,7 +667,7 @@ def stream_rolling_mean(spark, d):
     from tickloom.streaming import live
 
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    src = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a pattern may find one file or a folder of them
     src = src.select("user_id", F.timestamp_micros(us("ts")).alias("ts"), F.col("value").alias("v"))
     name = f"stream_rolling_mean_{abs(hash(d))}"
     done = live.run_available(live.rolling_mean(src, "user_id", 10), name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickloom.functions.shared import remove, shared_dir
+
 #: State schema shared by the per-entity operators: the clock so far and a bounded buffer.
 STATE = "last_us long, ts array<long>, v array<double>"
 
@@ -99,12 +102,27 @@ def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 1000)
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything there is now through the stream, as a table; an error in the query is raised here."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Everything there is now through the stream, as a table and temporary view `name`; an error in the query is raised here.
+
+    Rows are written as Parquet to the shared folder by the executors, so the driver holds none of them. In append mode
+    the file sink writes each row once; in complete mode the last result stays, in update mode all of them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tickloom/{name}-{uuid.uuid4().hex}"
+    writer = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{path}/state")
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{path}/rows")
+    else:
+        spark.createDataFrame([], df.schema).write.parquet(f"{path}/rows")
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows"))
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return df.sparkSession.table(name)
+    remove(spark, f"{path}/state")
+    done = spark.read.schema(df.schema).parquet(f"{path}/rows")
+    done.createOrReplaceTempView(name)
+    return done
 
 
 class Progress(StreamingQueryListener):
