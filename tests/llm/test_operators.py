@@ -269,6 +269,50 @@ def test_line_bands_recall(spark):
     assert apart.where(F.col("n") > line_dedup.DIFFER).count() <= 2
 
 
+def test_line_marks_keep_like_pairs(spark):
+    """Marks of lines at a similarity of 0.8 or more, of any length, never rule the pair out, and mostly do so at 0.65."""
+    rng, k, pairs = random.Random(14), line_dedup.SHINGLE, []
+    while len(pairs) < 900:
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(int(rng.choice([30, 120, 300, 700, 2500]) * rng.uniform(0.7, 1.3)))).strip()
+        other, edits = list(line), max(1, int(len(line) * rng.uniform(0.01, 0.05)))
+        for _ in range(edits):
+            other[rng.randrange(len(other))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        a, b = ({x[i : i + k] for i in range(max(1, len(x) - k + 1))} for x in (line, "".join(other)))
+        similar = len(a & b) / len(a | b)
+        if 0.8 <= similar < 0.83 or 0.6 <= similar < 0.65 and len(line) < 700:
+            pairs.append((line, "".join(other), similar))
+    table = spark.createDataFrame([(2 * i + s, p[s]) for i, p in enumerate(pairs) for s in (0, 1)], "h1 long, line string")
+    bands = line_dedup.line_bands(table)
+    one = line_dedup.marked(table.selectExpr("h1 as rep"), bands)
+    two = one.select(*[F.col(c).alias(f"{c}2") for c in one.columns])
+    met = one.join(two, (F.col("rep2") == F.col("rep") + 1) & (F.col("rep") % 2 == 0)).where(line_dedup.marks_close(F.col, lambda c: F.col(f"{c}2")))
+    kept = {r.rep // 2 for r in met.select("rep").collect()}
+    like = {i for i, p in enumerate(pairs) if p[2] >= 0.8}
+    assert len(like) > 100 and like <= kept
+    assert len(kept - like) < 0.05 * (len(pairs) - len(like))
+
+
+def test_line_pairs_below_the_bound_are_not_compared_in_full(spark, monkeypatch):
+    """Lines that share many shingles but are not alike are told apart by their marks, not pair by pair by their texts."""
+    rng = random.Random(15)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(320)).strip() + "z"
+
+    def edited(line, n):
+        line = list(line)
+        for i in range(n):  # apart, so that each takes five shingles
+            line[i * (len(line) // n) + rng.randrange(len(line) // n - 5)] = rng.choice("0123456789")
+        return "".join(line)
+
+    lines = [edited(base, 7) for _ in range(90)]
+    copies = [edited(x, 1) for x in lines[:20]]
+    compared, full = [], line_dedup._like
+    monkeypatch.setattr(line_dedup, "_like", lambda pairs, *rest: compared.append(pairs.count()) or full(pairs, *rest))
+    rows = spark.createDataFrame(list(enumerate(lines + copies)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(rows).where("n_removed > 0").collect()}
+    assert gone == set(range(90, 110))
+    assert sum(compared) < 10 * len(lines + copies)
+
+
 def test_mixing(docs, rows):
     got = mixing.mix(docs, block_words=16).collect()
     assert len(got) == len(rows)

@@ -6,12 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import kernels as K
 from tickloom.llm.common import WORD, drop_table, free_names, materialize
-from tickloom.llm.linking import linked
+from tickloom.llm.linking import Side, linked
 
 U = np.uint64
 #: Characters of a shingle, and the similarity in percent from which lines are one: one character edited inside a line
@@ -31,6 +31,11 @@ BROADCAST_LINES = 1_000_000
 #: probability of 1e-5, at 0.5 some 30 do.
 PLANES, DIFFER = 4, 26
 SKETCH = [f"s{p}" for p in range(PLANES)]
+#: Each shingle of a line sets one bit of MARKS. Of lines alike, the bits that only one has are few: more than their
+#: mean and SURE standard deviations have a probability of 1e-5 at most.
+MARKS, SURE = 1024, 4.3
+#: Size of a line with more than 0.95 of its marks set, which tell it no more.
+FULL = 1e9
 SEED = 0x2545F491
 #: Characters whose shingles are hashed at once, and characters of the lines taken together.
 BLOCK, TOGETHER = 1 << 16, 1 << 20
@@ -86,57 +91,70 @@ def _planes(least: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(((values >> U(p)) & U(1)) << at, axis=1) for p in range(PLANES)], axis=1)
 
 
-def _short_values(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS, ROWS) values: a band's are the least of a hash of its own, seeded before mixing, turned by fifths of
+def _mark(marks: np.ndarray, x: np.ndarray, own: np.ndarray) -> None:
+    marks[own * MARKS + ((x >> U(20)) % U(MARKS)).astype(np.int64)] = True
+
+
+def _short_values(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, BANDS, ROWS) values, and marks: a band's values are the least of a hash of its own, seeded before mixing, turned by fifths of
     64 bits, so that each orders the shingles by other bits."""
     least = np.full((BANDS, ROWS, len(lines)), np.iinfo(U).max, U)
+    marks = np.zeros(len(lines) * MARKS, bool)
     for x, own in _shingles(lines):
         if not len(x):
             continue
+        _mark(marks, x, own)
         cut = np.flatnonzero(np.diff(own, prepend=-1))
         who = own[cut]
         for b in range(BANDS):
             y = K.mix(x ^ U(0x9E3779B97F4A7C15 * (b + 1) % (1 << 64)))
             for j in range(ROWS):
                 least[b, j, who] = np.minimum(least[b, j, who], np.minimum.reduceat(_turn(y, 64 // ROWS * j), cut))
-    return np.ascontiguousarray(least.transpose(2, 0, 1))
+    return np.ascontiguousarray(least.transpose(2, 0, 1)), marks
 
 
-def _long_values(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values as above by one hash, whose bits deal a shingle to a band; (lines, BANDS) whether a band has a shingle;
+def _long_values(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values and marks as above by one hash, whose bits deal a shingle to a band; (lines, BANDS) whether a band has a shingle;
     whether a line is sparse: the minima tell how many different shingles there are, within a ninth."""
     least = np.full(len(lines) * BANDS * ROWS, np.iinfo(U).max, U)
+    marks = np.zeros(len(lines) * MARKS, bool)
     for x, own in _shingles(lines):
+        _mark(marks, x, own)
         place = (own * BANDS + ((x >> U(40)) % U(BANDS)).astype(np.int64)) * ROWS
         for j in range(ROWS):
             np.minimum.at(least, place + j, _turn(x, 64 // ROWS * j))
     least = least.reshape(-1, BANDS, ROWS)
     has = least[:, :, 0] != np.iinfo(U).max
     share = np.where(has[:, :, None], least / 2.0**64, 0).sum(axis=(1, 2))
-    return least, has, ~has.all(axis=1) | (BANDS * BANDS * ROWS <= SPARSE * share)
+    return least, marks, has, ~has.all(axis=1) | (BANDS * BANDS * ROWS <= SPARSE * share)
 
 
-BANDS_SCHEMA = pa.schema([("rep", pa.int64()), ("keys", pa.list_(pa.int64())), *[(s, pa.int64()) for s in SKETCH]])
+BANDS_SCHEMA = pa.schema([("rep", pa.int64()), ("keys", pa.list_(pa.int64())), *[(s, pa.int64()) for s in SKETCH], ("marks", pa.list_(pa.int64())), ("size", pa.float64())])
 
 
 def _signed(names: np.ndarray, lines: list[str]):
-    """Record batches of BANDS_SCHEMA: a row for each line and way."""
+    """Record batches of BANDS_SCHEMA: a row for each line and way; one of a line's two has its marks."""
 
-    def rows(which: np.ndarray, least: np.ndarray, kind: int, has: np.ndarray) -> pa.RecordBatch:
+    def rows(which: np.ndarray, least: np.ndarray, marks: np.ndarray, kind: int, has: np.ndarray) -> pa.RecordBatch:
         at = np.concatenate([[0], np.cumsum(has.sum(axis=1))])
         planes = _planes(least).view(np.int64)
-        return pa.record_batch([pa.array(names[which]), K.lists(_keys(least, kind)[has], at), *[pa.array(planes[:, p]) for p in range(PLANES)]], schema=BANDS_SCHEMA)
+        here = (size[which] >= LONG) == kind
+        bits = np.packbits(marks.reshape(-1, MARKS)[here], axis=1, bitorder="little").view(U)
+        filled = marks.reshape(-1, MARKS).mean(axis=1)
+        sizes = np.where(filled > 0.95, FULL, -MARKS * np.log1p(-np.minimum(filled, 0.95)))
+        marks = K.lists(bits.ravel(), np.concatenate([[0], np.cumsum(here * (MARKS // 64))]))
+        return pa.record_batch([pa.array(names[which]), K.lists(_keys(least, kind)[has], at), *[pa.array(planes[:, p]) for p in range(PLANES)], marks, pa.array(sizes)], schema=BANDS_SCHEMA)
 
     size = np.fromiter((len(x) for x in lines), np.int64, len(lines)) - (SHINGLE - 1)
     long, short = np.flatnonzero(size >= LONG), size <= SHORT
     if len(long):
-        least, has, sparse = _long_values([lines[i] for i in long])
+        least, marks, has, sparse = _long_values([lines[i] for i in long])
         short[long[sparse]] = True
-        yield rows(long, least, 1, has)
+        yield rows(long, least, marks, 1, has)
     some = np.flatnonzero(short)
     if len(some):
-        least = _short_values([lines[i] for i in some])
-        yield rows(some, least, 0, np.ones(least.shape[:2], bool))
+        least, marks = _short_values([lines[i] for i in some])
+        yield rows(some, least, marks, 0, np.ones(least.shape[:2], bool))
 
 
 def _sign(batches):
@@ -237,9 +255,9 @@ def _like(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 
 def line_bands(lines: DataFrame) -> DataFrame:
-    """(rep, keys, *SKETCH): the bands of the MinHash signatures of lines (h1, line), which may repeat; a row for each
-    line and way, more where several tasks meet the line."""
-    return materialize(lines.select("h1", "line").mapInArrow(_sign, f"rep long, keys array<long>, {', '.join(f'{s} long' for s in SKETCH)}"))
+    """(rep, keys, *SKETCH, marks, size): the bands of the MinHash signatures of lines (h1, line), which may repeat; a row for
+    each line and way, more where several tasks meet the line."""
+    return materialize(lines.select("h1", "line").mapInArrow(_sign, f"rep long, keys array<long>, {', '.join(f'{s} long' for s in SKETCH)}, marks array<long>, size double"))
 
 
 def _meeting(batches):
@@ -263,15 +281,15 @@ def _meeting(batches):
 
 
 def meeting(bands: DataFrame) -> DataFrame:
-    """Distinct (rep, key) of the keys that several lines have: sorted by key and read as a stream, in two exchanges of
-    half the keys, so that only one takes disk at a time."""
+    """Distinct (rep, key) of the keys that several lines have: sorted by key and read as a stream, in four exchanges of
+    a quarter of the keys, so that only one takes disk at a time."""
     rows = bands.select("rep", F.explode("keys").alias("key"))
 
-    def half(bit: int) -> DataFrame:
-        some = rows.where(F.col("key").bitwiseAND(F.lit(2).cast("long")) == bit)
+    def some_of(bits: int) -> DataFrame:
+        some = rows.where(F.col("key").bitwiseAND(F.lit(6).cast("long")) == bits)
         return materialize(some.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_meeting, "rep long, key long"))
 
-    return half(0).unionByName(half(2))
+    return reduce(DataFrame.unionByName, [some_of(bits) for bits in (0, 2, 4, 6)])
 
 
 def sketched(met: DataFrame, bands: DataFrame) -> DataFrame:
@@ -281,6 +299,30 @@ def sketched(met: DataFrame, bands: DataFrame) -> DataFrame:
     return met.withColumn("kind", kind("key")).join(sketches, ["rep", "kind"]).drop("kind")
 
 
+def marked(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """rows (rep, ...) with the marks of rep, and its number of different shingles as they tell it."""
+    ids = materialize(rows.select("rep").distinct())
+    marks = bands.where("size(marks) > 0").select("rep", "marks", "size")
+    marks = marks.join(F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids, "rep", "left_semi").dropDuplicates(["rep"])
+    return rows.join(marks, "rep")
+
+
+def marks_close(x: Side, y: Side) -> Column:
+    """Whether lines of marks x and y, of so many different shingles together, may have a similarity of PERCENT / 100.
+
+    Of two such lines (100 - PERCENT) / (100 + PERCENT) of both sizes are in one only; of these each sets a bit that only
+    one line has, unless one that both have has set it. Full marks tell nothing.
+    """
+    n, total = float(MARKS), x("size") + y("size")
+    apart = reduce(lambda a, b: a + b, [F.bit_count(x("marks")[i].bitwiseXOR(y("marks")[i])) for i in range(MARKS // 64)])
+    alone = total * ((100 - PERCENT) / (100 + PERCENT))
+    free = F.exp(total * (-PERCENT / (100 + PERCENT) / n))  # share of bits that no shingle of both has set
+    error = F.exp(total / (2 * n)) - total / (2 * n) - 1  # of a size told by marks: its variance for each bit
+    mean = n * free * (1 - F.exp(alone / -n))
+    spread = F.sqrt(alone * free * (1 - free) + n * error * F.pow(free * (2 * (100 - PERCENT) / (100 + PERCENT)), 2))
+    return (total >= FULL) | (apart <= mean + SURE * spread + 0.5)
+
+
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(occurrences, repeats): all lines (doc_id, d1, no, h1, h2), and for those that have a like, the place kept.
 
@@ -297,7 +339,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bands = line_bands(lines)
     close = lambda x, y: F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), [x(s).bitwiseXOR(y(s)) for s in SKETCH])) <= DIFFER
     met = meeting(bands)
-    found = linked(met, close, lambda pairs: _like(pairs, lines, PERCENT), attach=lambda met: sketched(met, bands))
+    found = linked(met, close, lambda pairs: _like(pairs, lines, PERCENT), attach=lambda met: sketched(met, bands), narrow=lambda rest: marked(rest, bands), closer=marks_close)
     drop_table(met)
     found = found.withColumnRenamed("node", "h1")
     once = occurrences.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "no", "d1")).alias("at")).join(found, "h1", "left")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import components, drop_table, materialize
 
-#: Of two rows of a bucket, each a function from names to columns: whether they may be alike.
-Close = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
+#: A row of a bucket: a function from names to columns.
+Side = Callable[[str], Column]
+#: Of two rows of a bucket: whether they may be alike.
+Close = Callable[[Side, Side], Column]
 #: Members of a bucket that one cell of its comparison holds, about.
 CELL = 256
 
@@ -61,7 +63,7 @@ def _across(rest: DataFrame, close) -> DataFrame:
     return met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
-def linked(band: DataFrame, close: Close, verify: Callable[[DataFrame], DataFrame] | None = None, sets_of: Callable[[DataFrame], DataFrame] | None = None, percent: int = 80, attach: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(band: DataFrame, close: Close, verify: Callable[[DataFrame], DataFrame] | None = None, sets_of: Callable[[DataFrame], DataFrame] | None = None, percent: int = 80, attach: Callable[[DataFrame], DataFrame] | None = None, narrow: Callable[[DataFrame], DataFrame] | None = None, closer: Close | None = None) -> DataFrame:
     """(node, component) of the items that link with another.
 
     band: distinct (rep, key, ...) of distinct sets. attach adds columns to rows of band that met another. Either verify
@@ -69,7 +71,7 @@ def linked(band: DataFrame, close: Close, verify: Callable[[DataFrame], DataFram
     percent must be common. close says of two rows of a bucket, by their further columns, whether they are compared at all.
     In each bucket all are first compared with the member that shares most buckets; after union-find, every close pair of
     a bucket that is still in different components is compared too, unless, with sets_of, the bounds from the rarest items
-    of both rule it out. So no close pair stays undecided, while a group of m copies costs about m comparisons.
+    of both rule it out, or closer, which has the columns that narrow adds to what is left by then. So no close pair stays undecided, while a group of m copies costs about m comparisons.
     """
     band = band.repartition("key")  # dealt once: the count reads rep too, so that both sides are the same exchange
     crowd = band.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").drop("lo", "hi")
@@ -90,11 +92,15 @@ def linked(band: DataFrame, close: Close, verify: Callable[[DataFrame], DataFram
     links = materialize(verify(star), star)
     found = components(links, "a", "b")
 
-    # the members of buckets that still hold several components c; hubs have met all of theirs
-    placed = met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", *more_columns, F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
-    rest = materialize(placed.join(mixed, "key").join(hub.select("key", "rep2"), "key").where("rep != rep2").drop("rep2"), met, hub)
+    # the members of buckets whose members but the hub, which has met all of them, still are of several components c
+    placed = met.where("m > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", *more_columns, F.coalesce("component", "rep").alias("c"))
+    others = placed.join(hub.select("key", "rep2"), "key").where("rep != rep2").drop("rep2")
+    mixed = others.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
+    rest = materialize(others.join(mixed, "key"), met, hub)
     close_by = close(mine, other)
+    if narrow is not None:
+        rest = materialize(narrow(rest), rest)
+        close_by &= closer(mine, other)
     if sets is not None:
         rest = materialize(rest.join(bounds(sets, rest, percent), "rep"), rest)
         close_by &= _near(percent)
