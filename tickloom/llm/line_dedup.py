@@ -339,12 +339,12 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bands = line_bands(lines)
     close = lambda x, y: F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), [x(s).bitwiseXOR(y(s)) for s in SKETCH])) <= DIFFER
     met = meeting(bands)
-    found = linked(met, close, lambda pairs: _like(pairs, lines, PERCENT), attach=lambda met: sketched(met, bands), narrow=lambda rest: marked(rest, bands), closer=marks_close)
+    bands = materialize(bands.withColumn("keys", F.slice("keys", 1, 1)), bands)  # one tells the way; the others are no more needed
+    found = linked(met, close, lambda pairs: _like(pairs, lines, PERCENT), attach=lambda met: sketched(met, bands), narrow=lambda rest: materialize(marked(rest, bands), rest, bands), closer=marks_close)
     drop_table(met)
     found = found.withColumnRenamed("node", "h1")
     once = occurrences.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "no", "d1")).alias("at")).join(found, "h1", "left")
     once = materialize(once.where("n > 1 or component is not null").select("h1", "h2", "at", F.struct(F.coalesce("component", "h1").alias("c"), F.when(F.col("component").isNull(), F.col("h2")).alias("h2")).alias("component")))
-    drop_table(bands)
     keep = once.groupBy("component").agg(F.min("at").alias("keep"))
     return occurrences, once.join(keep, "component").select("h1", "h2", "keep")
 

@@ -48,17 +48,23 @@ def _near(percent: int):
     return enough(F.least("s", "s2")) & enough(F.size(F.array_intersect("start", "start2")) + beyond)
 
 
+def _cells() -> Column:
+    return F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("g")
+
+
 def _across(rest: DataFrame, close) -> DataFrame:
     """Distinct pairs (a, b) of one bucket and different components that are close.
 
-    A bucket of m members is dealt into cells of about CELL x CELL of them, so no task compares a whole large bucket.
+    A bucket of m members is dealt into cells of about CELL x CELL of them, so no task compares a whole large bucket. rest
+    may have their number on each side, g.
     """
-    size = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("g"))
-    dealt = rest.join(size, "key").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    if "g" not in rest.columns:
+        rest = rest.join(rest.groupBy("key").agg(_cells()), "key")
+    dealt = rest.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     every = F.sequence(F.lit(0), F.col("g") - 1)
     x = dealt.withColumn("i", F.col("at")).withColumn("j", F.explode(every))
     y = dealt.withColumn("j", F.col("at")).withColumn("i", F.explode(every))
-    y = y.select("key", "i", "j", *[F.col(k).alias(f"{k}2") for k in rest.columns if k != "key"])
+    y = y.select("key", "i", "j", *[F.col(k).alias(f"{k}2") for k in rest.columns if k not in ("key", "g")])
     met = x.join(y, ["key", "i", "j"]).where((F.col("rep") < F.col("rep2")) & (F.col("c") != F.col("c2")) & close)
     return met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
 
@@ -71,7 +77,7 @@ def linked(band: DataFrame, close: Close, verify: Callable[[DataFrame], DataFram
     percent must be common. close says of two rows of a bucket, by their further columns, whether they are compared at all.
     In each bucket all are first compared with the member that shares most buckets; after union-find, every close pair of
     a bucket that is still in different components is compared too, unless, with sets_of, the bounds from the rarest items
-    of both rule it out, or closer, which has the columns that narrow adds to what is left by then. So no close pair stays undecided, while a group of m copies costs about m comparisons.
+    of both rule it out, or closer, which has the columns that narrow adds to a table of what is left by then, written anew. So no close pair stays undecided, while a group of m copies costs about m comparisons.
     """
     band = band.repartition("key")  # dealt once: the count reads rep too, so that both sides are the same exchange
     crowd = band.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").drop("lo", "hi")
@@ -95,11 +101,11 @@ def linked(band: DataFrame, close: Close, verify: Callable[[DataFrame], DataFram
     # the members of buckets whose members but the hub, which has met all of them, still are of several components c
     placed = met.where("m > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", *more_columns, F.coalesce("component", "rep").alias("c"))
     others = placed.join(hub.select("key", "rep2"), "key").where("rep != rep2").drop("rep2")
-    mixed = others.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
+    mixed = others.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), _cells()).where("c0 != c1").select("key", *["g"] * (narrow is not None))
     rest = materialize(others.join(mixed, "key"), met, hub)
     close_by = close(mine, other)
     if narrow is not None:
-        rest = materialize(narrow(rest), rest)
+        rest = narrow(rest)
         close_by &= closer(mine, other)
     if sets is not None:
         rest = materialize(rest.join(bounds(sets, rest, percent), "rep"), rest)
